@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .exact_dedup import exact_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +35,19 @@ FROM (SELECT doc_id, first_value(doc_id) OVER w AS keep_id, row_number() OVER w
       WINDOW w AS (PARTITION BY text ORDER BY doc_id))
 WHERE copy_no > 0
 """
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are more likely toxic than not."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("toxicity") >= 0.5)
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with expected grade and P(grade >= 1)."""
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.grades_of_labels(read(spark, sf_dir, "labels")))
+    return quality.score(docs, model, 1).where(F.col("tail_probability") >= 0.5)
