@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
+from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,29 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.train(docs, quality.grades_of_labels(read(spark, sf_dir, "labels")))
     return quality.score(docs, model, 1).where(F.col("tail_probability") >= 0.5)
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which benchmark items."""
+    found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
+ORACLE_SQL["op10_decontaminate"] = r"""
+WITH dw AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
+iw AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM benchmark),
+ig AS (SELECT id, len(w) AS m, unnest(range(0, greatest(len(w) - 4, 1))) AS p, w FROM iw WHERE len(w) > 0),
+s AS (SELECT DISTINCT id, m, array_to_string(w[p + 1:p + 5], ' ') AS g FROM ig),
+k AS (SELECT id, count(*) AS shingles FROM s GROUP BY id),
+dg AS (SELECT id, unnest(range(0, greatest(len(w) - 4, 1))) AS p, w FROM dw WHERE len(w) > 0),
+h AS (SELECT dg.id AS doc_id, dg.p, s.id AS item_id, s.m, s.g
+      FROM dg JOIN s ON s.g = array_to_string(dg.w[dg.p + 1:dg.p + 5], ' ')),
+win AS (SELECT a.doc_id, a.item_id, a.p, count(DISTINCT b.g) AS found
+        FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.item_id = b.item_id
+                         AND b.p BETWEEN a.p AND a.p + greatest(a.m - 5, 0)
+        GROUP BY 1, 2, 3)
+SELECT win.doc_id, win.item_id, max(win.found) AS found, any_value(k.shingles) AS shingles
+FROM win JOIN k ON k.id = win.item_id
+GROUP BY 1, 2 HAVING max(win.found) >= ceil(any_value(k.shingles) * 0.7 - 1e-9)
+"""
