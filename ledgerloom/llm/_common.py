@@ -41,13 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark).rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     Compressed and columnar, so better than a checkpoint for anything wide.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
+from .line_dedup import dedup_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,6 +47,24 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where(F.col("toxicity") >= 0.5)
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text as the line index leaves it."""
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE_SQL["op3_line_dedup"] = r"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM s WHERE text IS NOT NULL),
+r AS (SELECT doc_id, line, pos, regexp_matches(line, '[^ \t\r\f\v]') AS solid,
+             row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1 AS first FROM l),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE first OR NOT solid) AS kept,
+             count(*) FILTER (WHERE solid) AS had, count(*) FILTER (WHERE solid AND first) AS has FROM r GROUP BY doc_id)
+SELECT s.doc_id, CASE WHEN k.has = 0 AND k.had > 0 THEN '' WHEN s.text IS NULL THEN NULL ELSE k.kept END AS text
+FROM s LEFT JOIN k ON s.doc_id = k.doc_id
+"""
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are kept, with expected grade and P(grade >= 1)."""
