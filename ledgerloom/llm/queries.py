@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import quality, toxicity, warc
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
+from .packing import pack_documents
+from .sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,6 +75,47 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, 1).where(F.col("tail_probability") >= 0.5)
 
 
+def rotten(pages: DataFrame) -> DataFrame:
+    """A replica of ``pages`` after bit rot: the md5 of a page's url decides
+    whether its first character changed (2 in 256) or it was lost (1 in 256)."""
+    byte = F.substring(F.md5("url"), 1, 2)
+    html = F.when(byte.isin("00", "01"), F.concat(F.lit("\u0000"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    return pages.where(byte != "02").select("page_id", "url", html.alias("html"))
+
+
+@query
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a rotten replica of the pages' WARC files differs from them."""
+    pages = read(spark, sf_dir, "pages")
+    return warc.audit(warc.records(pages), warc.records(rotten(pages)))
+
+
+ORACLE_SQL["op5_warc_audit"] = """
+WITH r AS (SELECT page_id, url, page_id // 4096 AS file,
+  strlen('WARC/1.0..WARC-Type: resource..WARC-Record-ID: <urn:page:') + strlen(page_id::VARCHAR) + strlen('>..WARC-Target-URI: ') + strlen(url)
+  + strlen('..Content-Type: text/html..Content-Length: ') + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4 AS length FROM pages),
+o AS (SELECT *, (sum(length) OVER (PARTITION BY file ORDER BY page_id))::BIGINT AS stop FROM r)
+SELECT file, page_id, CASE WHEN substr(md5(url), 1, 2) = '02' THEN 'missing' ELSE 'altered' END AS damage,
+       stop - length AS "begin", stop AS "end"
+FROM o WHERE substr(md5(url), 1, 2) IN ('00', '01', '02')
+"""
+
+#: Shards of the documents table.
+SHARDS = 64
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return shard_documents(read(spark, sf_dir, "documents"), SHARDS)
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every piece of every document."""
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold which benchmark items."""
