@@ -11,6 +11,7 @@ from . import quality, toxicity, warc
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
+from .ngram_join import jaccard_pairs
 from .packing import pack_documents
 from .sharding import shard_documents
 
@@ -116,6 +117,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of similar documents, equal sets standing for one."""
+    return jaccard_pairs(read(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op8_ngram_jaccard"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(0, greatest(len(w) - 4, 1)), lambda p: array_to_string(w[p + 1:p + 5], ' ')))) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT s, min(doc_id) AS lead, list(doc_id) AS ids FROM g GROUP BY s),
+i AS (SELECT lead, len(s) AS size, unnest(s) AS gram FROM c),
+o AS (SELECT a.lead AS a, b.lead AS b, any_value(a.size) + any_value(b.size) AS sizes, count(*) AS common
+      FROM i a JOIN i b ON a.gram = b.gram AND a.lead < b.lead GROUP BY 1, 2)
+SELECT a AS doc_id, b AS other_id, common / (sizes - common)::DOUBLE AS jaccard FROM o WHERE common / (sizes - common)::DOUBLE >= 0.4
+UNION ALL SELECT lead, x, 1.0 FROM (SELECT lead, unnest(ids) AS x FROM c) WHERE x <> lead
+"""
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold which benchmark items."""
