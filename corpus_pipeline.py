@@ -7,11 +7,47 @@ written as Parquet and read again as the next stage's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import line_dedup, ngram_join, packing, quality
 from ledgerloom.llm._common import table
+from ledgerloom.llm.decontaminate import decontaminate
 
-STAGES: list = []
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that are more likely of low quality."""
+    rated = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.train(rated, quality.grades_of_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.select_quality(docs, model, 1)
+
+
+def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines of earlier documents.  A document that has no
+    line left goes; one that had no text before stays."""
+    had = docs.withColumn("__had", F.col("text").rlike(r"\S"))
+    left = line_dedup.dedup_lines(had)
+    kept = left.where(~(F.coalesce("__had", F.lit(False)) & (F.col("text") == "")))
+    return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.keep_one(docs)
+
+
+def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", _quality), ("lines", _lines), ("near-duplicates", _near), ("decontamination", _clean), ("packing", _pack)]
+
+#: A classifier is trained on the way, which SQL can't express.
 ORACLE_SQL = None
 
 

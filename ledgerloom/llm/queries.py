@@ -13,6 +13,7 @@ from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
 from .ngram_join import jaccard_pairs
 from .packing import pack_documents
+from .repeats import repeated_passages
 from .sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +136,22 @@ UNION ALL SELECT lead, x, 1.0 FROM (SELECT lead, unnest(ids) AS x FROM c) WHERE
 """
 
 
+@query
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents repeat passages of 50 words and more."""
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op9_repeated_passages"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS p FROM w WHERE len(w) >= 50),
+h AS (SELECT doc_id, p, count(*) OVER (PARTITION BY array_to_string(w[p + 1:p + 50], ' ')) AS n FROM g),
+r AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -100) > 50 AS head FROM h WHERE n > 1),
+s AS (SELECT doc_id, p, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r)
+SELECT doc_id, min(p)::INT AS start, (max(p) + 50)::INT AS "end" FROM s GROUP BY doc_id, k
+"""
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold which benchmark items."""
