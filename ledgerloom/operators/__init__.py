@@ -1 +1 @@
-
+"""Operators over records, manifests, vectors, knowledge, code graphs and tickets."""

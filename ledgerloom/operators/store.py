@@ -141,7 +141,9 @@ class RecordStore:
         version = self.version() if version is None else version
         if version == 0:
             return self.spark.createDataFrame([], RECORD)
-        return self.spark.read.schema(RECORD).parquet(self._entry(version)["data"])
+        rows = self.spark.read.schema(RECORD).parquet(self._entry(version)["data"])
+        # partition columns come last from the files
+        return rows.select(*self.spark.createDataFrame([], RECORD).columns)
 
     def _commit(self, base: int, after: DataFrame, note: str) -> bool:
         data = f"{self.root}/data/{uuid.uuid4().hex}"
