@@ -14,6 +14,7 @@ so a line that is everywhere costs one row per task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,7 +226,7 @@ class LineIndex:
     def _after(self, delta: DataFrame, moved: DataFrame) -> LineIndex:
         """The index with the signed counts ``delta`` added and the keys of
         ``moved`` (``live``: came, else gone) changed in the filters."""
-        step = len(self.changes)
+        step = f"{len(self.changes)}-{uuid.uuid4().hex}"
         at, to = f"{self.path}/changes-{step}", f"{self.path}/filters-{step}"
         delta.select("h1", "h2", "n").write.parquet(at)
         after = LineIndex(self.spark, self.path, self.shards, (*self.changes, at), to)
