@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, text, tickets
+from .functions.vectors import l2_normalize
 from .operators import graph, knowledge, manifest, store, sync, vector
 from .operators.tickets import summary, upsert_outcomes
 from .plans.views import spark_view, with_views
@@ -66,13 +67,7 @@ def _approximate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _register("vector_topk_approximate", _approximate)
-_register("vector_normalize", lambda s, d: spark_view(s, d, "vectors").select("id", F.round(F.get(keys_norm(F.col("embedding")), F.lit(0)).cast("double"), 5).alias("first")), ("vectors",), "SELECT id, round((embedding[1]::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12))::FLOAT::DOUBLE, 5) AS first FROM vectors")
-
-
-def keys_norm(c):
-    from .functions.vectors import l2_normalize
-
-    return l2_normalize(c)
+_register("vector_normalize", lambda s, d: spark_view(s, d, "vectors").select("id", F.round(F.get(l2_normalize(F.col("embedding")), F.lit(0)).cast("double"), 5).alias("first")), ("vectors",), "SELECT id, round((embedding[1]::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12))::FLOAT::DOUBLE, 5) AS first FROM vectors")
 
 
 # --- knowledge -----------------------------------------------------------

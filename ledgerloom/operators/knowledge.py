@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import KEY
+from ..functions.keys import KEY, matches
 from ..functions.text import chunk_id, prepend_header, split_paragraphs
-from ..functions.vectors import Embedder, embed_column
+from ..functions.vectors import Embedder, check_dim, cosine, embed_column, literal
 from .vector import topk
 
 #: Chunks read per wanted record, so that several of one record do no harm.
@@ -64,14 +64,10 @@ def query(chunks: DataFrame, vector: Sequence[float], k: int, namespace: str | N
     """``namespace, collection, id, score``: the ``k`` records whose best chunk
     is nearest.  Only ``k * overfetch`` chunks are looked at; None looks at
     all, which one record with very many near chunks may need."""
-    best = chunks if overfetch is None else None
     if overfetch is not None:
         hits = topk(chunks, vector, k * overfetch, namespace, collection, (*KEY[:2], "chunk_id"))
     else:
-        from ..functions.keys import matches
-        from ..functions.vectors import check_dim, cosine, literal
-
-        hits = best.where(matches(namespace, collection)).withColumn("score", cosine(check_dim(F.col("embedding"), len(vector)), literal(vector)))
+        hits = chunks.where(matches(namespace, collection)).withColumn("score", cosine(check_dim(F.col("embedding"), len(vector)), literal(vector)))
     return hits.groupBy(*KEY).agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), *KEY).limit(k)
 
 
