@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -57,6 +58,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *written: DataFrame) -> None:
+    """Delete tables that ``table`` wrote and nothing reads any more, and have
+    the driver let go of finished shuffles, whose files otherwise stay on the
+    executors' disks until it happens to collect its garbage."""
+    for df in written:
+        files = df.inputFiles()
+        if files:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, parallelism, require, sized_join, table
+from ._common import discard, parallelism, require, sized_join, table
 from ._tokens import blocks, grams_of, mix
 
 NGRAM = 5
@@ -35,7 +35,7 @@ MAX_LIGHT = 10
 #: Counters of the rarity sketch, a fixed size.
 SKETCH = 1 << 20
 #: List entries of one owner of a hash range, and sets of one verified block.
-OWNER_ENTRIES, VERIFY_SETS = 3_000_000, 4096
+OWNER_ENTRIES, VERIFY_SETS = 1_500_000, 4096
 
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -79,7 +79,7 @@ def _sets(column: pa.Array, n: int) -> Iterator[Sets]:
         yield Sets(block, words, n)
 
 
-_SCAN = "kind int, doc_id long, set_id long, set_check long, size int, payload binary"
+_SCAN = "kind int, doc_id long, row long, set_id long, set_check long, size int, payload binary"
 _ROW, _SMALL, _COUNTS = 0, 1, 2
 _CHUNK = 1 << 14
 
@@ -88,10 +88,10 @@ def _survey(n: int):
     """Per text its set's id and size, small sets in full, and per task the
     counts of the sketch."""
 
-    def rows(kind, doc, set_id, check, size, payload) -> pa.RecordBatch:
+    def rows(kind, doc, row, set_id, check, size, payload) -> pa.RecordBatch:
         m = len(set_id)
-        columns = [pa.array(np.full(m, kind, np.int32)), doc, pa.array(set_id), pa.array(check), pa.array(size.astype(np.int32)), payload]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "doc_id", "set_id", "set_check", "size", "payload"])
+        columns = [pa.array(np.full(m, kind, np.int32)), doc, row, pa.array(set_id), pa.array(check), pa.array(size.astype(np.int32)), payload]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "doc_id", "row", "set_id", "set_check", "size", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
@@ -99,17 +99,19 @@ def _survey(n: int):
             for s in _sets(b.column(1), n):
                 counts += np.bincount((s.gram & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 some = np.flatnonzero(s.size > 0)
-                doc = b.column(0).take(pa.array(s.first + some))
-                yield rows(_ROW, doc, s.id[some], s.check[some], s.size[some], pa.nulls(len(some), pa.binary()))
+                at = pa.array(s.first + some)
+                yield rows(_ROW, b.column(0).take(at), b.column(2).take(at), s.id[some], s.check[some], s.size[some], pa.nulls(len(some), pa.binary()))
                 small = np.flatnonzero((s.size > 0) & (s.size <= MAX_LIGHT))
                 if len(small):
                     payload = pa.array([s.gram[s.begin[i] : s.begin[i + 1]].tobytes() for i in small], pa.binary())
-                    yield rows(_SMALL, pa.nulls(len(small), pa.int64()), s.id[small], s.check[small], s.size[small], payload)
+                    none = pa.nulls(len(small), pa.int64())
+                    yield rows(_SMALL, none, none, s.id[small], s.check[small], s.size[small], payload)
         chunks = [c for c in range(SKETCH // _CHUNK) if counts[c * _CHUNK : (c + 1) * _CHUNK].any()]
         if chunks:
             payload = pa.array([counts[c * _CHUNK : (c + 1) * _CHUNK].tobytes() for c in chunks], pa.binary())
             zero = np.zeros(len(chunks), np.int64)
-            yield rows(_COUNTS, pa.nulls(len(chunks), pa.int64()), zero, zero, np.array(chunks), payload)
+            none = pa.nulls(len(chunks), pa.int64())
+            yield rows(_COUNTS, none, none, zero, zero, np.array(chunks), payload)
 
     return run
 
@@ -224,19 +226,7 @@ def _prefixes(n: int, owners: int, threshold: float, levels: bytes, upto: int, p
 
     def send(gram, text, ids, sizes) -> Iterator[pa.RecordBatch]:
         owner = ((gram >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
-        low = mix(gram.copy()) & _LOW32
-        order = np.lexsort((low, owner))
-        owner, low, text = owner[order], low[order], text[order]
-        edges = np.searchsorted(owner, np.arange(owners + 1))
-        out = []
-        for o in range(owners):
-            a, b = edges[o], edges[o + 1]
-            if b > a:
-                used, index = np.unique(text[a:b], return_inverse=True)
-                out.append((o, int(b - a), encode_list(low[a:b], index), ids[used].tobytes(), sizes[used].astype(np.int32).tobytes()))
-        if out:
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=["owner", "n", "payload", "set_ids", "sizes"])
+        return _packed(owner, mix(gram.copy()) & _LOW32, text, ids, sizes, owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels, np.uint8)
@@ -263,21 +253,18 @@ def _prefixes(n: int, owners: int, threshold: float, levels: bytes, upto: int, p
     return run
 
 
-_PAIRS = "a long, b long, common int"
+_PAIRS = "a long, b long, common int, need int"
 
 
-def scan_lists(gram: np.ndarray, ids: np.ndarray, sizes: np.ndarray, threshold: float, upto: int, budget: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, common grams) of the pairs that share a list, at least one of
-    them heavy and their sizes within the threshold's bounds.  Entries may
-    repeat.  Pairs of one call may be spread over several yields."""
+def scan_lists(gram: np.ndarray, ids: np.ndarray, sizes: np.ndarray, threshold: float, upto: int, budget: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, common grams, common grams needed) of the pairs that share a
+    list, at least one of them heavy and their sizes within the threshold's
+    bounds.  A pair may come in several yields, each with a part of its grams."""
     order = np.lexsort((ids, sizes, gram))
     gram, ids, sizes = gram[order], ids[order], sizes[order]
     if len(gram):
         keep = np.concatenate(([True], (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1])))
         gram, ids, sizes = gram[keep], ids[keep], sizes[keep]
-    at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.empty(0, np.int64)
-    ends = np.repeat(np.append(at[1:], len(gram)), np.diff(np.append(at, len(gram))))
-    used = ends - np.arange(len(ends))
     # partners come later in the list, up to the size bound: searched for
     # within the list by one key for list and size
     number = np.cumsum(np.concatenate(([0], gram[1:] != gram[:-1]))) if len(gram) else np.empty(0, np.int64)
@@ -289,7 +276,7 @@ def scan_lists(gram: np.ndarray, ids: np.ndarray, sizes: np.ndarray, threshold:
     if upto:
         heavy = np.searchsorted(key, number * span + min(upto, span - 1), side="right")
         start = np.where(sizes <= upto, np.maximum(start, heavy), start)
-    count = np.where(used > 1, np.maximum(stop - start, 0), 0)
+    count = np.maximum(stop - start, 0)
     sums = np.cumsum(count)
     low = 0
     while low < len(count):
@@ -300,46 +287,88 @@ def scan_lists(gram: np.ndarray, ids: np.ndarray, sizes: np.ndarray, threshold:
             x = np.repeat(np.arange(low, high), c)
             y = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start[low:high], c)
             a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+            need = np.minimum(needed(sizes[x], sizes[y], threshold), COMMON)
             o = np.lexsort((b, a))
-            a, b = a[o], b[o]
+            a, b, need = a[o], b[o], need[o]
             new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            yield a[new], b[new], np.diff(np.append(new, len(a)))
+            yield a[new], b[new], np.diff(np.append(new, len(a))), need[new]
         low = high
 
 
+def _unpack(tables: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    grams, ids, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for t in tables:
+        for n, payload, set_ids, set_sizes in zip(*(t.column(c) for c in ("n", "payload", "set_ids", "sizes"))):
+            g, index = decode_list(payload.as_py(), n.as_py())
+            grams.append(g)
+            ids.append(np.frombuffer(set_ids.as_buffer(), np.int64)[index])
+            sizes.append(np.frombuffer(set_sizes.as_buffer(), np.int32)[index])
+    return np.concatenate(grams), np.concatenate(ids), np.concatenate(sizes)
+
+
+def _packed(owner: np.ndarray, low: np.ndarray, index: np.ndarray, ids: np.ndarray, sizes: np.ndarray, owners: int) -> Iterator[pa.RecordBatch]:
+    """A row per owner of the entries (32-bit value, number of the set)."""
+    order = np.lexsort((low, owner))
+    owner, low, index = owner[order], low[order], index[order]
+    edges = np.searchsorted(owner, np.arange(owners + 1))
+    out = []
+    for o in range(owners):
+        a, b = edges[o], edges[o + 1]
+        if b > a:
+            used, number = np.unique(index[a:b], return_inverse=True)
+            out.append((o, int(b - a), encode_list(low[a:b], number), ids[used].tobytes(), sizes[used].astype(np.int32).tobytes()))
+    if out:
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=["owner", "n", "payload", "set_ids", "sizes"])
+
+
+def _gather(owners: int):
+    """Keeps the lists with more than one entry and sends each on to the owner
+    of its smallest set: the many lists that the same sets share meet there,
+    so that a pair of them comes out of few places."""
+
+    def run(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, own, size = _unpack(tables)
+        order = np.lexsort((own, gram))
+        gram, own, size = gram[order], own[order], size[order]
+        twin = np.zeros(len(gram), bool)
+        twin[1:] = gram[1:] == gram[:-1]
+        twin[:-1] |= twin[1:].copy()
+        gram, own, size = gram[twin], own[twin], size[twin]
+        if not len(gram):
+            return
+        head = np.concatenate(([True], gram[1:] != gram[:-1]))
+        lead = own[np.flatnonzero(head)][np.cumsum(head) - 1]
+        to = (mix(lead.view(np.uint64).copy()) % np.uint64(owners)).astype(np.int64)
+        # a list's value is unique only within its first owner
+        mixed = mix((gram << np.uint64(20)) + np.uint64(int(key[0].as_py()))) & _LOW32
+        ids, index = np.unique(own, return_inverse=True)
+        sizes = np.zeros(len(ids), np.int32)
+        sizes[index] = size
+        yield from _packed(to, mixed, index, ids, sizes, owners)
+
+    return run
+
+
 def _owner(threshold: float, upto: int):
     def run(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, ids, sizes = [], [], []
-        for t in tables:
-            for n, payload, set_ids, set_sizes in zip(*(t.column(c) for c in ("n", "payload", "set_ids", "sizes"))):
-                g, index = decode_list(payload.as_py(), n.as_py())
-                grams.append(g.astype(np.uint32))
-                ids.append(np.frombuffer(set_ids.as_buffer(), np.int64)[index])
-                sizes.append(np.frombuffer(set_sizes.as_buffer(), np.int32)[index])
-        gram, own, size = np.concatenate(grams), np.concatenate(ids), np.concatenate(sizes)
-        del grams, ids, sizes
-        # drop grams that only one entry has before anything is sorted by more
-        order = np.argsort(gram, kind="stable")
-        g = gram[order]
-        twin = np.zeros(len(g), bool)
-        twin[1:] = g[1:] == g[:-1]
-        twin[:-1] |= twin[1:]
-        pick = order[twin]
-        for a, b, c in scan_lists(gram[pick], own[pick], size[pick].astype(np.int64), threshold, upto):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.int32))], names=["a", "b", "common"])
+        gram, own, size = _unpack(tables)
+        for a, b, c, need in scan_lists(gram, own, size.astype(np.int64), threshold, upto):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "common", "need"])
 
     return run
 
 
 def _whole(n: int):
+    """Whole sets, 40 bits of each gram's hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in _sets(b.column(0), n):
-                _, lead = np.unique(s.id, return_index=True)
-                lead = lead[s.size[lead] > 0]
-                if len(lead):
-                    payload = pa.array([s.gram[s.begin[i] : s.begin[i + 1]].tobytes() for i in lead], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(s.id[lead]), pa.array(s.check[lead]), payload], names=["set_id", "set_check", "grams"])
+                some = np.flatnonzero(s.size > 0)
+                if len(some):
+                    grams = [_planes(s.gram[s.begin[i] : s.begin[i + 1]] >> np.uint64(24), 5) for i in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.id[some]), pa.array(grams, pa.binary())], names=["set_id", "grams"])
 
     return run
 
@@ -351,11 +380,12 @@ def _verify(threshold: float):
         kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
         if not pairs.num_rows or not sets.num_rows:
             return kinds.empty_table()
-        held = {i: np.frombuffer(g.as_buffer(), np.uint64) for i, g in zip(sets.column("set_id").to_pylist(), sets.column("grams"))}
+        held = {i: g for i, g in zip(sets.column("set_id").to_pylist(), sets.column("grams"))}
         # grams as small numbers, so that one mark per gram finds the overlap
         ids = sorted(held)
-        every, index = np.unique(np.concatenate([held[i] for i in ids]), return_inverse=True)
-        edges = np.cumsum([0] + [len(held[i]) for i in ids])
+        parts = [_unplanes(held[i].as_buffer(), len(held[i].as_buffer()) // 5, 5) for i in ids]
+        every, index = np.unique(np.concatenate(parts), return_inverse=True)
+        edges = np.cumsum([0] + [len(p) for p in parts])
         number = {i: k for k, i in enumerate(ids)}
         pairs = pairs.sort_by([("a", "ascending"), ("b", "ascending")])
         a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
@@ -381,44 +411,79 @@ def _verify(threshold: float):
     return run
 
 
+def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and the smallest node each is connected to."""
+    nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = index[: len(a)], index[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return nodes, nodes[root]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars around the smallest node of each part, and
+    in ``loose`` whether they were anything else before."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts))
+    edges = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
+    nodes, root = _union(edges[:, 0], edges[:, 1])
+    leaf = nodes != root
+    stars = np.column_stack((root[leaf], nodes[leaf]))
+    stars = stars[np.lexsort((stars[:, 1], stars[:, 0]))]
+    loose = len(stars) != len(edges) or bool((stars != edges).any())
+    yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1]), pa.array(np.full(len(stars), loose))], names=["a", "b", "loose"])
+
+
+_EDGES = "a long, b long, loose boolean"
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, component`` (its smallest node) of every node of the edges
-    ``a, b``.  Smallest labels spread, and jump to the label of their label, so
-    the rounds are about the log of the longest path."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    ``a, b``.
+
+    Each task turns its edges into stars, which leaves at most one edge per
+    node of the task whatever the number of edges.  Then the stars meet by
+    node and are contracted again, until none changes.
+    """
+    now = table(edges.select("a", "b").mapInArrow(_contract, _EDGES), "stars")
     for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        spread = label.join(near, "node").select("node", F.least("component", "m").alias("component"))
-        spread = cut(spread)
-        hop = spread.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        jumped = spread.join(hop, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
-        after = cut(jumped)
-        changed = after.join(label.withColumnRenamed("component", "old"), "node").where(F.col("old") != F.col("component")).isEmpty()
-        label = after
-        if changed:
-            return label
+        met = now.select("a", "b", F.col("a").alias("at")).union(now.select("a", "b", F.col("b").alias("at")))
+        before, now = now, table(met.repartition(parallelism(edges.sparkSession), "at").select("a", "b").mapInArrow(_contract, _EDGES), "stars")
+        discard(edges.sparkSession, before)
+        if now.where("loose").isEmpty():
+            settled = now.select(F.col("b").alias("node"), F.col("a").alias("component")).distinct()
+            roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+            return settled.union(roots)
     raise RuntimeError("components did not settle")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Pairs of sets with their Jaccard.  Sets are shipped once per block of
-    pairs; sets that hang together are numbered together, so that most sets
-    are in one block with all their partners."""
-    parts = components(pairs)
-    # numbers within a component, in blocks; the component is the place where
-    # its blocks meet, so no order over all sets is needed
+def _verified(rows: DataFrame, leads: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Pairs of sets with their Jaccard.  Of each class of equal sets the text
+    of one row is read again, and its set is shipped once per block of pairs:
+    sets that hang together are numbered together, so that most are in one
+    block with all their partners."""
     from pyspark.sql import Window
 
-    place = table(parts.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1) / VERIFY_SETS).cast("int")), "join-places")
+    block = F.floor((F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1) / VERIFY_SETS).cast("int")
+    place = table(components(pairs).withColumn("block", block), "join-places")
     left = place.select(F.col("node").alias("a"), "component", F.col("block").alias("x"))
     right = place.select(F.col("node").alias("b"), F.col("block").alias("y"))
-    located = table(pairs.join(left, "a").join(right, "b").select("a", "b", "component", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "join-pairs")
+    located = table(sized_join(sized_join(pairs, left, ["a"], "inner", 24), right, ["b"], "inner", 16).select("a", "b", "component", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "join-pairs")
     wanted = located.select(F.col("a").alias("set_id"), "component", "x", "y").union(located.select("b", "component", "x", "y")).distinct()
-    names = table(place.select(F.col("node").alias("set_id")), "join-names")
-    sets = sized_join(texts.mapInArrow(_whole(n), "set_id long, set_check long, grams binary"), names, ["set_id"], "left_semi", 8)
-    once = table(sets.groupBy("set_id", "set_check").agg(F.first("grams").alias("grams")), "join-sets")
-    shipped = once.join(wanted, "set_id").select(F.col("component").alias("c"), F.col("x").alias("u"), F.col("y").alias("v"), "set_id", "grams")
+    wanted = table(wanted.select("set_id", F.col("component").alias("c"), F.col("x").alias("u"), F.col("y").alias("v")), "join-wanted")
+    names = place.select(F.col("node").alias("set_id"))
+    texts = table(leads.join(names, "set_id", "left_semi").select("row"), "join-texts")
+    sets = sized_join(rows, texts, ["row"], "left_semi", 8).select("text").mapInArrow(_whole(n), "set_id long, grams binary")
+    shipped = sized_join(sets, wanted, ["set_id"], "inner", 24)
     return located.groupBy("component", "x", "y").cogroup(shipped.groupBy("c", "u", "v")).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
 
 
@@ -429,7 +494,7 @@ def similar_sets(docs: DataFrame, n: int, threshold: float, id_col: str, text_co
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("row", F.xxhash64("doc_id", "text"))
     surveyed = table(rows.mapInArrow(_survey(n), _SCAN), "join-survey")
     owned = surveyed.where(F.col("kind") == _ROW).select("doc_id", "set_id", "size")
     counts = _sketch(surveyed)
@@ -456,15 +521,14 @@ def similar_sets(docs: DataFrame, n: int, threshold: float, id_col: str, text_co
     total = surveyed.where(F.col("kind") == _ROW).agg(F.sum("size")).first()[0] or 0
     owners = max(parallelism(spark), -(-total // OWNER_ENTRIES))
     lists = rows.select("text").mapInArrow(_prefixes(n, int(owners), threshold, levels.tobytes(), upto, OWNER_ENTRIES), _LISTS)
-    met = lists.groupBy("owner").applyInArrow(_owner(threshold, upto), _PAIRS).groupBy("a", "b").agg(F.sum("common").alias("common"))
-    size_a, size_b = (owned.groupBy("set_id").agg(F.first("size").alias("size")).select(F.col("set_id").alias(c), F.col("size").alias(f"s{c}")) for c in "ab")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("sa") + F.col("sb")) - F.lit(1e-9))
-    # a pair needs COMMON matches, or its least overlap if that is fewer
-    often = table(met, "join-met")
-    met_enough = often.where(F.col("common") >= COMMON).select("a", "b")
-    few = often.where(F.col("common") < COMMON).join(size_a, "a").join(size_b, "b").where((need < COMMON) & (F.col("common") >= need)).select("a", "b")
-    pairs = table(met_enough.union(few).union(light).distinct(), "join-candidates")
-    return owned, _verified(rows.select("text"), pairs, n, threshold)
+    gathered = lists.groupBy("owner").applyInArrow(_gather(int(owners)), _LISTS)
+    met = gathered.groupBy("owner").applyInArrow(_owner(threshold, upto), _PAIRS)
+    enough = met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need")).where(F.col("common") >= F.col("need")).select("a", "b")
+    pairs = table(enough.union(light).distinct() if upto else enough, "join-candidates")
+    del lists, gathered, met, enough, light, subsets, x, y
+    discard(spark, small)
+    leads = surveyed.where(F.col("kind") == _ROW).groupBy("set_id").agg(F.min("row").alias("row"))
+    return owned, _verified(rows, leads, pairs, n, threshold)
 
 
 def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
