@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parallelism, require, table
+from ._common import BROADCAST_BYTES, discard, parallelism, require, table
 from ._tokens import blocks, grams_of
 
 #: Words of a passage.
 LENGTH = 50
 #: Rows of one range of a sort.
 RANGE_ROWS = 1 << 20
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -160,12 +161,14 @@ def _positions(length: int, anchor: int, first: int, offset: int, later: list[in
                 if not len(begins):
                     continue
                 every = np.unique(np.concatenate([begins + s for s in shifts]))
-                k1, k2 = h[of[every]], h[of[every + offset]]
+                # 32 bits of each rank: a position that is taken for another's
+                # equal by chance still has to match it in all later sorts
+                pair = (h[of[every]] & _HIGH) | (h[of[every + offset]] >> np.uint64(32))
                 t = words.text[every]
                 row = pa.array(block.first + t)
                 pos = (every - words.first_word[t]).astype(np.int32)
-                columns = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(pos)]
-                yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+                columns = [pa.array(pair.view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(pos)]
+                yield pa.RecordBatch.from_arrays(columns, names=[_NAMES[0], *_NAMES[2:]])
 
     return run
 
@@ -233,12 +236,13 @@ def _by_place(df: DataFrame) -> DataFrame:
     return df.repartition(parallelism(df.sparkSession), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "pos")
 
 
-def _rank(pairs: DataFrame, name: str) -> DataFrame:
+def _rank(pairs: DataFrame) -> DataFrame:
     """One sort of prefix doubling over a table of rank pairs: ``rank,
     doc_id, text_hash, pos`` of the positions that are not alone."""
+    keys = [c for c in ("k1", "k2") if c in pairs.columns]
     ranges = max(parallelism(pairs.sparkSession), -(-pairs.count() // RANGE_ROWS))
-    ordered = pairs.repartitionByRange(ranges, "k1", "k2").sortWithinPartitions("k1", "k2")
-    return ordered.mapInArrow(_runs(2, True), "rank long, doc_id long, text_hash long, pos int")
+    ordered = pairs.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(_runs(len(keys), True), "rank long, doc_id long, text_hash long, pos int")
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,11 +265,20 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     twins = found.repartition(parallelism(docs.sparkSession), "k1").sortWithinPartitions("k1").mapInArrow(_runs(1, False), "doc_id long, text_hash long, pos int")
     places = table(twins.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("places")), "repeat-anchors")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash"))
-    near = rows.alias("d").join(places.alias("p"), same).select("d.doc_id", "d.text_hash", "d.text", "p.places")
-    pairs = table(near.mapInArrow(_positions(length, anchor, first, offsets[0], offsets[1:]), _KEYED), "repeat-pairs-0")
+    size = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    p = places.alias("p")
+    if size * 4 + places.count() * 48 <= BROADCAST_BYTES:
+        p = F.broadcast(p)
+    near = rows.alias("d").join(p, same).select("d.doc_id", "d.text_hash", "d.text", "p.places")
+    pairs = table(near.mapInArrow(_positions(length, anchor, first, offsets[0], offsets[1:]), _KEYED.replace("k2 long, ", "")), "repeat-pairs-0")
+    discard(docs.sparkSession, places)
     for k, offset in enumerate(offsets[1:], 1):
-        ranked = _rank(pairs, f"repeat-ranks-{k}")
+        # each shuffle ends in a table, so that the one before can go
+        ranked = table(_rank(pairs), f"repeat-ranks-{k}")
+        discard(docs.sparkSession, pairs)
         pairs = table(_by_place(ranked).mapInArrow(_pairs(offset), _KEYED), f"repeat-pairs-{k}")
-    last = _rank(pairs, "repeat-ranks").select("doc_id", "text_hash", "pos")
+        discard(docs.sparkSession, ranked)
+    last = table(_rank(pairs).select("doc_id", "text_hash", "pos"), "repeat-positions")
+    discard(docs.sparkSession, pairs)
     spans = _by_place(last).mapInArrow(_spans(length), "doc_id long, text_hash long, start int, end int")
     return spans.select("doc_id", "start", "end").distinct()
