@@ -35,7 +35,9 @@ MAX_LIGHT = 10
 #: Counters of the rarity sketch, a fixed size.
 SKETCH = 1 << 20
 #: List entries of one owner of a hash range, and sets of one verified block.
-OWNER_ENTRIES, VERIFY_SETS = 1_500_000, 4096
+OWNER_ENTRIES, VERIFY_SETS = 4_000_000, 1024
+#: Entries that a task packs at once.
+SEND_ENTRIES = 2_000_000
 
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -519,8 +521,8 @@ def similar_sets(docs: DataFrame, n: int, threshold: float, id_col: str, text_co
     light = x.join(y, same).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
 
     total = surveyed.where(F.col("kind") == _ROW).agg(F.sum("size")).first()[0] or 0
-    owners = max(parallelism(spark), -(-total // OWNER_ENTRIES))
-    lists = rows.select("text").mapInArrow(_prefixes(n, int(owners), threshold, levels.tobytes(), upto, OWNER_ENTRIES), _LISTS)
+    owners = max(1, -(-total // OWNER_ENTRIES))
+    lists = rows.select("text").mapInArrow(_prefixes(n, int(owners), threshold, levels.tobytes(), upto, SEND_ENTRIES), _LISTS)
     gathered = lists.groupBy("owner").applyInArrow(_gather(int(owners)), _LISTS)
     met = gathered.groupBy("owner").applyInArrow(_owner(threshold, upto), _PAIRS)
     enough = met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need")).where(F.col("common") >= F.col("need")).select("a", "b")
