@@ -9,7 +9,8 @@ documents subtracts their lines and takes lines that nobody holds any more out
 of the filters, after which they count as new again.
 
 Within an input task the repeats of a line are collapsed before the exchange,
-so a line that is everywhere costs one row per task.
+so a line that is everywhere costs one row per task.  Rows equal in id and text
+are made one before that, wherever they lie, so every occurrence counts once.
 """
 
 from __future__ import annotations
@@ -97,10 +98,25 @@ class Cuckoo:
                     break
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_hash, text`` of the texts, repeated rows once.
+
+    Only the rows that repeat are exchanged with their texts; all others stay
+    in their tasks.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    again = table(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash"), "line-repeats")
+    if again.isEmpty():
+        return rows
+    r, a = rows.alias("r"), again.alias("a")
+    same = F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.text_hash") == F.col("a.text_hash"))
+    once = sized_join(r, a, same, "left_semi", 16).groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
+    return sized_join(r, a, same, "left_anti", 16).unionByName(once)
+
+
+def _lines(rows: DataFrame) -> DataFrame:
     """One row per line that isn't blank."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    split = rows.where(F.col("text").isNotNull()).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    split = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return split.where(F.col("line").rlike(r"\S")).select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -122,10 +138,6 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = np.zeros(len(order), bool)
     a, b = order[1:], order[:-1]
     same[1:] = (h1[a] == h1[b]) & (h2[a] == h2[b])
-    # a repeated row (equal id and text) is the same occurrence
-    again = np.zeros(len(order), bool)
-    again[1:] = same[1:] & (doc[a] == doc[b]) & (null[a] == null[b]) & (text[a] == text[b]) & (pos[a] == pos[b])
-    order, same = order[~again], same[~again]
     head = np.flatnonzero(~same)
     n = np.diff(np.append(head, len(order)))
     rest = pa.array(order[same])
@@ -250,7 +262,7 @@ class LineIndex:
         require(docs, [id_col, text_col])
         order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash", "pos")
         every = Window.partitionBy("h1", "h2")
-        local = _lines(docs, id_col, text_col).mapInArrow(_collapse, _COLLAPSED)
+        local = _lines(_rows(docs, id_col, text_col)).mapInArrow(_collapse, _COLLAPSED)
         ranked = table(local.withColumn("rank", F.row_number().over(order)).withColumn("total", F.sum("n").over(every)), "line-ranks")
         keys = ranked.where(F.col("rank") == 1).select("h1", "h2", F.col("total").alias("n"))
         first = F.col("rank") == 1
@@ -271,7 +283,7 @@ class LineIndex:
         """The index without the lines of ``docs``, which hold their texts as
         they were inserted.  More than was inserted is never taken away."""
         require(docs, [id_col, text_col])
-        lines = _lines(docs, id_col, text_col).distinct().groupBy("h1", "h2").agg(F.count("*").alias("less"))
+        lines = _lines(_rows(docs, id_col, text_col)).groupBy("h1", "h2").agg(F.count("*").alias("less"))
         lines = table(lines, "line-deletes")
         held = self._held(lines)
         left = table(held.join(lines, ["h1", "h2"]).select("h1", "h2", "n", F.least("n", "less").alias("less")), "line-left")

@@ -1,5 +1,6 @@
 import numpy as np
 
+import corpus_pipeline
 from ledgerloom.llm.line_dedup import Cuckoo, LineIndex, dedup_lines
 
 
@@ -77,3 +78,19 @@ def test_cuckoo_filter():
     assert held.holds(other).mean() < 0.01
     held.remove(keys[:10_000])
     assert held.holds(keys[10_000:]).all() and held.holds(keys[:10_000]).mean() < 0.01
+
+
+def test_repeated_rows_in_different_partitions(spark, docs):
+    rows = [(1, "a\nb\na"), (2, "b\nc"), (None, "d\nz"), (3, "a\nc\ne")]
+    every = [*rows, *rows, (4, "e\nf")]
+    # every row has its twin in another partition
+    parts = spark.sparkContext.parallelize(docs(every).collect(), 3)
+    assert all(len(p) == len(set(p)) for p in parts.glom().collect())
+    df = spark.createDataFrame(parts, docs([]).schema)
+    cleaned, index = LineIndex.create(spark).insert(df)
+    assert run(cleaned) == brute(every)
+    # an occurrence counts once, and all of them can be taken back
+    assert sorted(r["n"] for r in index.counts().collect()) == [1, 1, 1, 2, 2, 2, 3]
+    assert index.delete(df).counts().count() == 0
+    left = corpus_pipeline._lines(spark, df.withColumn("n_chars", df["n"]), "")
+    assert run(left) == brute(every)
