@@ -60,6 +60,13 @@ SELECT query_id, namespace, collection, id, round(score, 6) AS score, rank FROM
   FROM embeddings q CROSS JOIN vectors v CROSS JOIN LATERAL (SELECT list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score) s WHERE q.label = 0)
 WHERE rank <= 5""")
 
+# every row asks, where vector_topk_each asks for label 0 only
+_register("vector_topk_every", lambda s, d: _rounded(vector.topk_each(spark_view(s, d, "vectors"), s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)), ("vectors",), """
+SELECT query_id, namespace, collection, id, round(score, 6) AS score, rank FROM (
+  SELECT q.vec_id AS query_id, v.namespace, v.collection, v.id, s.score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s.score DESC, v.collection, v.id) AS rank
+  FROM embeddings q CROSS JOIN vectors v CROSS JOIN LATERAL (SELECT list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score) s)
+WHERE rank <= 5""")
+
 
 def _approximate(spark: SparkSession, sf: str) -> DataFrame:
     query = _query_vector(spark, sf)

@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.keys import KEY, matches
 from ..functions.vectors import check_dim, cosine, literal
@@ -37,40 +41,81 @@ def topk(vectors: DataFrame, query: Sequence[float], k: int, namespace: str | No
     return scored.orderBy(F.col("score").desc(), *tie).limit(k)
 
 
-def topk_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+#: Rows of a block of queries or vectors, and queries of it scored at a time.
+BLOCK_ROWS, SCORED_ROWS = 8192, 256
+#: Scores this near to the k-th by matrix product are computed again one by one.
+_NEAR = 1e-9
+
+
+def _matrix(t: pa.Table, column: str) -> np.ndarray:
+    rows = t.column(column).combine_chunks()
+    lengths = pc.list_value_length(rows).unique().to_pylist()
+    if len(lengths) > 1 or None in lengths:
+        raise ValueError(f"{column} has null vectors or several dimensions: {lengths}")
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; 0 where a norm is 0 or anything isn't finite."""
+    with np.errstate(all="ignore"):
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        good = np.isfinite(size) & (size > 0)
+        return np.where(good, m / size, 0.0)
+
+
+def _best(k: int, kind: pa.Schema):
+    """The ``k`` nearest vectors of a block for each query of another."""
+
+    def run(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows or k < 1:
+            return kind.empty_table()
+        # in the order of keys, so that the first of equal scores are the ones to keep
+        held = held.take(pc.sort_indices(held, sort_keys=[(c, "ascending") for c in KEY], null_placement="at_start"))
+        q, v = _matrix(asked, "query"), _matrix(held, "embedding")
+        if q.shape[1] != v.shape[1]:
+            raise ValueError(f"dimension mismatch: expected {q.shape[1]}, got {v.shape[1]}")
+        q, v = _units(q), _units(v)
+        m, out = min(k, len(v)), []
+        for at in range(0, len(q), SCORED_ROWS):
+            part = q[at : at + SCORED_ROWS]
+            rough = part @ v.T
+            least = np.partition(rough, len(v) - m, axis=1)[:, len(v) - m]
+            i, j = np.nonzero(rough >= least[:, None] - _NEAR)
+            # the last bits of a product depend on its place in the matrix
+            score = np.concatenate([(part[i[x : x + 65536]] * v[j[x : x + 65536]]).sum(1) for x in range(0, len(i), 65536)])
+            order = np.lexsort((j, -score, i))
+            first = np.searchsorted(i, np.arange(len(part)))
+            kept = order[np.arange(len(order)) - first[i[order]] < m]
+            take = pa.array(j[kept])
+            columns = [asked.column("query_id").take(pa.array(at + i[kept])), *[held.column(c).take(take) for c in KEY], pa.array(score[kept])]
+            out.append(pa.Table.from_arrays(columns, names=["query_id", *KEY, "score"]))
+        return pa.concat_tables(out).cast(kind)
+
+    return run
+
+
+def topk_each(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact top-k of every row of ``queries`` (``query_id, query``).
 
-    Candidates of a query are cut to ``k`` within each task before the final
-    ranking, so the shuffle carries k rows per query and task.
+    Every block of queries meets every block of vectors in a task of its own,
+    which keeps ``k`` rows per query, so nothing is collected on the driver
+    and no task holds more than two blocks.
     """
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    rows = [(r[0], r[1]) for r in queries.select("query_id", "query").toLocalIterator()]
-    ids = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    norms = np.linalg.norm(matrix, axis=1) if len(rows) else np.empty(0)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, norms))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries_, qn = shared.value
-        for b in batches:
-            if not b.num_rows or not len(names):
-                continue
-            v = np.array(b.column(3).to_pylist(), np.float64)
-            with np.errstate(all="ignore"):
-                score = (queries_ @ v.T) / (qn[:, None] * np.linalg.norm(v, axis=1)[None, :])
-            score = np.where(np.isfinite(score), score, 0.0)
-            m = min(k, b.num_rows)
-            # everything as good as the k-th, so that ties are decided by key
-            least = np.partition(score, b.num_rows - m, axis=1)[:, b.num_rows - m]
-            q, at = np.nonzero(score >= least[:, None])
-            columns = [pa.array([names[i] for i in q]), *[b.column(c).take(pa.array(at)) for c in range(3)], pa.array(score[q, at])]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", *KEY, "score"])
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    found = vectors.select(*KEY, "embedding").mapInArrow(run, f"query_id {kind}, namespace string, collection string, id string, score double")
+
+    def blocks(df: DataFrame) -> int:
+        return max(1, -(-df.count() // block_rows))
+
+    across, down = blocks(queries), blocks(vectors)
+
+    def spread(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        """``df`` in ``n`` blocks, a copy for each of the other side's ``m``."""
+        block = F.pmod(F.xxhash64(*[c for c in df.columns if c in ("query_id", *KEY)]), F.lit(n)).cast("int")
+        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    asked = spread(queries.select("query_id", "query"), "q", across, "v", down)
+    held = spread(vectors.select(*KEY, "embedding"), "v", down, "q", across)
+    kind = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *[T.StructField(c, T.StringType()) for c in KEY], T.StructField("score", T.DoubleType())])
+    found = asked.groupBy("q", "v").cogroup(held.groupBy("q", "v")).applyInArrow(_best(k, to_arrow_schema(kind)), kind)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *KEY)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
