@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import quality, toxicity, warc
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
-from .line_dedup import dedup_lines
+from .line_dedup import dedup_lines_reversibly
 from .ngram_join import jaccard_pairs
 from .packing import pack_documents
 from .repeats import repeated_passages
@@ -53,8 +53,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its text as the line index leaves it."""
-    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document with its text as the line index leaves it, the later
+    half of them put in, taken out and put in again."""
+    return dedup_lines_reversibly(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE_SQL["op3_line_dedup"] = r"""

@@ -1,6 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
+from ledgerloom.llm import queries
 from ledgerloom.llm.line_dedup import Cuckoo, LineIndex, dedup_lines
 
 
@@ -94,3 +95,24 @@ def test_repeated_rows_in_different_partitions(spark, docs):
     assert index.delete(df).counts().count() == 0
     left = corpus_pipeline._lines(spark, df.withColumn("n_chars", df["n"]), "")
     assert run(left) == brute(every)
+
+
+def test_query_asks_and_deletes(spark, docs, tmp_path, monkeypatch):
+    asked = []
+    held = LineIndex._held
+
+    def spy(self, keys):
+        out = held(self, keys)
+        asked.append((len(self.changes), keys.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(LineIndex, "_held", spy)
+    for name, rows in (("rows", ROWS), ("none", []), ("null", [(None, "a\nb"), (None, "a\nb"), (None, None)])):
+        asked.clear()
+        docs(rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = run(queries.op3_line_dedup(spark, f"{tmp_path}/{name}"))
+        assert got == brute(rows)
+        # the later rows are asked for, deleted and asked for again
+        assert [n for n, *_ in asked] == [1, 2, 3]
+        assert asked[0][1:] == asked[2][1:] and asked[1][1] == asked[1][2] == asked[0][1]
+    assert len(got) == 3
