@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast up to this many bytes, measured on a
 #: materialised table by its row count; beyond it the join is a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Spark deletes the shuffles of a statement at its end if this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,33 +43,59 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where in the shared folder this application keeps its tables."""
+    return f"{shared_dir(spark).rstrip('/')}/ledgerloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark).rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    """A path in the application's folder that nothing uses yet."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     Compressed and columnar, so better than a checkpoint for anything wide.
+    The shuffles that led to it are deleted as soon as it is written.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(spark: SparkSession, *written: DataFrame) -> None:
-    """Delete tables that ``table`` wrote and nothing reads any more, and have
-    the driver let go of finished shuffles, whose files otherwise stay on the
-    executors' disks until it happens to collect its garbage."""
+    """Delete tables that ``table`` wrote and nothing reads any more."""
     for df in written:
         files = df.inputFiles()
         if files:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    gc.collect()
-    spark._jvm.System.gc()
+            _delete(spark, files[0].rsplit("/", 1)[0])
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every table this application has written.  To be called when the
+    results of the operators have been stored, as they are read from there."""
+    _delete(spark, run_folder(spark))
+
+
+def plain(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ... by place, and what ``columns``
+    are called in it.  No name that a caller may have chosen, with dots or in
+    another case, can clash with those of an operator's own columns; ``toDF``
+    with the old names undoes it."""
+    require(df, columns)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(c)}" for c in columns]
 
 
 def parallelism(spark: SparkSession) -> int:

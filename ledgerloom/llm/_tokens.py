@@ -1,9 +1,9 @@
 """Words and word n-grams of Arrow string columns, computed a block at a time.
 
 A word is a maximal run of ASCII letters, ASCII digits and non-ASCII
-characters.  ASCII and Latin-1 letters are lower-cased.  Everything works on
-the UTF-8 bytes of whole texts; blocks only bound the memory that one step
-needs and never cut a text.
+characters.  Letters of every script are lower-cased, character by character.
+Everything works on the UTF-8 bytes of whole texts; blocks only bound the
+memory that one step needs and never cut a text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text worked on at once (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 21
@@ -80,6 +81,7 @@ def raw_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII and Latin-1 letters lower-cased, all in their places."""
     out = _LOWER[data]
     lead = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.empty(0, np.int64)
     if len(lead):
@@ -164,5 +166,15 @@ def grams_of(words: Words, n: int, whole_if_short: bool = True) -> tuple[np.ndar
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[Block, Words]]:
     """Lower-cased blocks with their words."""
     for block in raw_blocks(column, limit):
-        low = Block(block.first, lowered(block.data), block.offsets)
+        low = _lower_block(block)
         yield low, words_of(low)
+
+
+def _lower_block(block: Block) -> Block:
+    """Lower-cased in every script.  Where all bytes are of ASCII or Latin-1
+    letters nothing moves; else characters may change their length."""
+    if not len(block.data) or int(block.data.max()) < 0xC4 or not (block.data >= 0xC4).any():
+        return Block(block.first, lowered(block.data), block.offsets)
+    texts = pa.LargeStringArray.from_buffers(block.texts, pa.py_buffer(block.offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(block.data)))
+    data, offsets = bytes_of(pc.utf8_lower(texts))
+    return Block(block.first, data, offsets)

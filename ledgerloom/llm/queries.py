@@ -11,7 +11,7 @@ from . import quality, toxicity, warc
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines_reversibly
-from .ngram_join import jaccard_pairs
+from .ngram_join import jaccard_classes
 from .packing import pack_documents
 from .repeats import repeated_passages
 from .sharding import shard_documents
@@ -121,19 +121,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of similar documents, equal sets standing for one."""
-    return jaccard_pairs(read(spark, sf_dir, "documents"))
+    """The class and the number of links of every document that has any."""
+    return jaccard_classes(read(spark, sf_dir, "documents"))
 
 
 ORACLE_SQL["op8_ngram_jaccard"] = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
 g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(0, greatest(len(w) - 4, 1)), lambda p: array_to_string(w[p + 1:p + 5], ' ')))) AS s FROM w WHERE len(w) > 0),
 c AS (SELECT s, min(doc_id) AS lead, list(doc_id) AS ids FROM g GROUP BY s),
 i AS (SELECT lead, len(s) AS size, unnest(s) AS gram FROM c),
 o AS (SELECT a.lead AS a, b.lead AS b, any_value(a.size) + any_value(b.size) AS sizes, count(*) AS common
-      FROM i a JOIN i b ON a.gram = b.gram AND a.lead < b.lead GROUP BY 1, 2)
-SELECT a AS doc_id, b AS other_id, common / (sizes - common)::DOUBLE AS jaccard FROM o WHERE common / (sizes - common)::DOUBLE >= 0.4
-UNION ALL SELECT lead, x, 1.0 FROM (SELECT lead, unnest(ids) AS x FROM c) WHERE x <> lead
+      FROM i a JOIN i b ON a.gram = b.gram AND a.lead <> b.lead GROUP BY 1, 2),
+e AS (SELECT a, b FROM o WHERE common / (sizes - common)::DOUBLE >= 0.4),
+r AS (SELECT lead AS a, lead AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+l AS (SELECT c.lead, len(any_value(c.ids)) - 1 + coalesce(sum(len(d.ids)), 0) AS links
+      FROM c LEFT JOIN e ON e.a = c.lead LEFT JOIN c d ON d.lead = e.b GROUP BY c.lead)
+SELECT m.doc_id, k.class_id, l.links::BIGINT AS links
+FROM (SELECT lead, unnest(ids) AS doc_id FROM c) m JOIN k ON k.a = m.lead JOIN l ON l.lead = m.lead
+WHERE l.links > 0
 """
 
 

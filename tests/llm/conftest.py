@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import types as T
 
-SCHEMA = "doc_id long, text string, lang string, n int, pos string, h1 string, shingle string, rank int, `other_id` string"
+EXTRA = ["lang", "n", "pos", "h1", "shingle", "rank", "other_id", "__text_hash", "__drop", "__key", "__gone", "__had", "a.b", "TEXT", "Doc_Id", "row", "c1"]
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(c, T.StringType()) for c in EXTRA]])
 
 
 @pytest.fixture
@@ -8,6 +10,6 @@ def docs(spark):
     """Documents of (id, text) with extra columns of clashing names."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, "en", 1, "p", "h", "s", 0, "o") for i, t in rows], SCHEMA)
+        return spark.createDataFrame([(i, t, *[f"{c} of {i}" for c in EXTRA]) for i, t in rows], SCHEMA)
 
     return make

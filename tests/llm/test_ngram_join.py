@@ -2,10 +2,11 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import ngram_join
-from ledgerloom.llm.ngram_join import boundary, jaccard_pairs, keep_one, needed, subset_keys
+from ledgerloom.llm.ngram_join import Sets, boundary, components, jaccard_classes, jaccard_pairs, keep_one, light_limit, needed, overlaps, subset_keys
 
 
 def grams(text, n):
@@ -35,62 +36,133 @@ def corpus(seed=4):
 
 
 def brute(rows, n, t):
+    """(pairs of classes with their Jaccard, what ``jaccard_classes`` gives)."""
+    sets = [(i, grams(text, n)) for i, text in rows]
+    sets = [(i, g) for i, g in sets if g]
     lead = {}
-    out = set()
-    for i, text in sorted(rows):
-        g = grams(text, n)
-        if g:
-            if g in lead:
-                out.add((lead[g], i, 1.0))
-            else:
-                lead[g] = i
+    for i, g in sorted(sets, key=lambda x: (x[0] is None, x[0] or 0)):
+        lead.setdefault(g, i)
+    pairs = set()
     for (g, i), (h, j) in itertools.combinations(lead.items(), 2):
         s = len(g & h) / len(g | h)
         if s >= t:
-            out.add((min(i, j), max(i, j), round(s, 9)))
-    return out
-
-
-@pytest.mark.parametrize("n,t,light", [(5, 0.4, 10), (3, 0.5, 0), (2, 0.7, 4)])
-def test_pairs_match_brute_force(docs, monkeypatch, n, t, light):
+            pairs.add((min(i, j), max(i, j), round(s, 9)))
+    near = [[x for x, (_, h) in enumerate(sets) if x != k and len(g & h) >= t * len(g | h) - 1e-12] for k, (_, g) in enumerate(sets)]
+    rows = []
+    for k, (i, _) in enumerate(sets):
+        seen, todo = {k}, [k]
+        while todo:
+            for x in near[todo.pop()]:
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        if near[k]:
+            rows.append((i, min((sets[x][0] for x in seen if sets[x][0] is not None), default=None), len(near[k])))
+    return pairs, sorted(rows, key=repr)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in (("OWNER_ENTRIES", 3000), ("BLOCK_SETS", 7), ("PAIR_BUDGET", 500), ("SEND_ENTRIES", 2000)):
+        monkeypatch.setattr(ngram_join, name, value)
+
+
+@pytest.mark.parametrize("n,t,light,common", [(5, 0.4, 10, 12), (3, 0.5, 0, 3), (2, 0.7, 4, 1)])
+def test_pairs_and_classes_match_brute_force(docs, monkeypatch, small_blocks, n, t, light, common):
     monkeypatch.setattr(ngram_join, "boundary", lambda *a: light)
-    monkeypatch.setattr(ngram_join, "OWNER_ENTRIES", 3000)
-    monkeypatch.setattr(ngram_join, "VERIFY_SETS", 7)
+    monkeypatch.setattr(ngram_join, "COMMON", common)
     rows = corpus()
+    pairs, classes = brute(rows, n, t)
     got = [(r[0], r[1], round(r[2], 9)) for r in jaccard_pairs(docs(rows), n, t).collect()]
     assert len(got) == len(set(got))
-    assert set(got) == brute(rows, n, t)
+    assert set(got) == pairs
+    df = jaccard_classes(docs(rows), n, t)
+    assert df.columns == ["doc_id", "class_id", "links"]
+    assert sorted(map(tuple, df.collect()), key=repr) == classes
 
 
-def test_keep_one_of_each_group(docs):
-    rows = corpus(8)
-    parent = {i: i for i, _ in rows}
+def test_candidates_survive_colliding_values(docs, monkeypatch):
+    """Grams of few different list values: each still counts."""
+    monkeypatch.setattr(ngram_join, "_LOW32", np.uint64(3))
+    monkeypatch.setattr(ngram_join, "boundary", lambda *a: 0)
+    rows = corpus(6)[:90]
+    pairs, _ = brute(rows, 5, 0.4)
+    assert {(r[0], r[1], round(r[2], 9)) for r in jaccard_pairs(docs(rows)).collect()} == pairs
+
+
+def test_equal_ids_of_different_sets_are_told_apart(docs, monkeypatch):
+    """64 bits of the fingerprint agree for all sets: the others decide."""
+    made = Sets.__init__
+
+    def same(self, *a):
+        made(self, *a)
+        self.id = np.zeros_like(self.id)
+
+    monkeypatch.setattr(Sets, "__init__", same)
+    rows = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "a b c d e f g"), (4, "o p q r s t u v")]
+    _, classes, _ = ngram_join.similar_sets(docs(rows), 5, 0.4, "doc_id", "text")
+    assert sorted(r["n"] for r in classes.collect()) == [1, 1, 2]
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    for count, span in ((2, 30), (9, 40), (60, 90), (60, 5000)):
+        sets = [np.unique(rng.integers(0, span, rng.integers(1, 40))).astype(np.uint64) for _ in range(count)]
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        assert (overlaps(sets) == want).all()
+        assert (overlaps(sets, 1) == want[:1, 1:]).all() and (overlaps(sets, count - 1) == want[:-1, -1:]).all()
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b, _ in brute(rows, 5, 0.4):
-        a, b = sorted((find(a), find(b)))
-        parent[b] = a
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7)]
+    root = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(3), few).collect()
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert sorted(map(tuple, got)) == sorted((x, r) for x, r in root.items() if x in linked)
+
+
+def test_case_of_all_scripts(docs):
+    rows = [(1, "Жили были старик со старухой у самого синего моря"), (2, "ЖИЛИ БЫЛИ СТАРИК СО СТАРУХОЙ У САМОГО СИНЕГО МОРЯ"), (3, "ΑΒΓ ΔΕΖ ΗΘΙ ΚΛΜ ΝΞΟ ΠΡΤ"), (4, "αβγ δεζ ηθι κλμ νξο πρτ"), (5, "ŁÓDŹ ŻÓŁĆ ČESKÝ ÉCOLE ÄRGER")]
+    assert sorted(map(tuple, jaccard_classes(docs(rows)).collect())) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1)]
+
+
+def test_keep_one_of_each_group(docs, small_blocks):
+    rows = corpus(8)
+    _, classes = brute(rows, 5, 0.4)
+    gone = {i for i, least, _ in classes if i != least}
     df = docs(rows)
     got = keep_one(df)
     assert got.columns == df.columns
-    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, _ in rows if find(i) == i)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, _ in rows if i not in gone)
 
 
 def test_nulls_repeats_and_empty(docs):
-    rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None), (4, None), (5, ""), (5, "")]
-    got = sorted(map(tuple, jaccard_pairs(docs(rows)).collect()), key=repr)
-    assert got == [(3, 3, 1.0), (3, None, 1.0)]
+    rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None), (4, None), (5, ""), (5, ""), (None, "x y z"), (None, "x y z")]
+    got = sorted(map(tuple, jaccard_classes(docs(rows)).collect()), key=repr)
+    assert got == sorted([(3, 3, 2), (3, 3, 2), (None, 3, 2), (None, None, 1), (None, None, 1)], key=repr)
+    assert jaccard_pairs(docs(rows)).collect() == []
     kept = sorted(((r["doc_id"], r["text"]) for r in keep_one(docs(rows)).collect()), key=repr)
-    assert kept == sorted([(3, "a b c d e f g"), (4, None), (4, None), (5, ""), (5, "")], key=repr)
-    assert jaccard_pairs(docs([])).collect() == []
+    assert kept == sorted([(3, "a b c d e f g"), (4, None), (4, None), (5, ""), (5, ""), (None, "x y z")], key=repr)
+    assert jaccard_pairs(docs([])).collect() == jaccard_classes(docs([])).collect() == []
     assert keep_one(docs([])).collect() == []
 
 
+def test_extra_columns_pass_unchanged(docs):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "one of its own")]
+    df = docs(rows)
+    assert sorted(keep_one(df).collect()) == sorted({r for r in df.collect() if r[0] != 2})
+
+
 def test_boundary_follows_cost():
     assert boundary({3: 10, 8: 10}, {3: 1e9, 8: 1e9}, 0.4) >= 8
     assert boundary({3: 10, 8: 10}, {3: 0.0, 8: 0.0}, 0.4) < 3
     assert subset_keys(3, 10, 0.4)[3, 3] == needed(3, 3, 0.4) == 2
+
+
+def test_limit_of_light_sets_follows_the_table():
+    assert light_limit(10, 0.4) < light_limit(10_000, 0.4) < light_limit(10**9, 0.4) < 40
