@@ -46,6 +46,9 @@ OWNER_ENTRIES = 4_000_000
 BLOCK_GRAMS, BLOCK_SETS = 1_000_000, 2048
 #: Entries that a task packs at once, and pairs that an owner holds at once.
 SEND_ENTRIES, PAIR_BUDGET = 2_000_000, 4_000_000
+#: List entries that are scanned in the time in which one subset is sent to
+#: where it meets its equals: 24 bytes through a shuffle and a sort.
+SUBSET_COST = 32
 #: Edges that one task may contract alone.
 FEW_EDGES = 1_000_000
 
@@ -196,10 +199,10 @@ def _subsets(size: int, upto: int, threshold: float) -> int:
 
 
 def light_limit(texts: int, threshold: float) -> int:
-    """Beyond this size a set has more subsets than all its lists could have
-    entries if every text were in each of them, so it is never light."""
+    """Beyond this size the subsets of a set cost more than all its lists could
+    if every text were in each of them, so it is never light."""
     size = 1
-    while _subsets(size, size, threshold) <= int(prefix_length(np.array(size), threshold)) * max(1, texts):
+    while SUBSET_COST * _subsets(size, size, threshold) <= int(prefix_length(np.array(size), threshold)) * max(1, texts):
         size += 1
     return size - 1
 
@@ -211,7 +214,7 @@ def boundary(sets_of_size: dict[int, int], scanned: dict[int, float], threshold:
     """
     best, upto = float(sum(scanned.values())), 0
     for x in range(1, max(sets_of_size, default=0) + 1):
-        enumerated = sum(n * _subsets(s, x, threshold) for s, n in sets_of_size.items() if s <= x)
+        enumerated = SUBSET_COST * sum(n * _subsets(s, x, threshold) for s, n in sets_of_size.items() if s <= x)
         cost = enumerated + sum(v for s, v in scanned.items() if s > x)
         if cost <= best:
             best, upto = cost, x
@@ -711,7 +714,8 @@ def _candidates(rows: DataFrame, surveyed: DataFrame, scaled: np.ndarray, light:
             size = b.column("size").to_numpy()
             scan = []
             for s, p in zip(size, b.column("payload")):
-                other = _unscale(shared.value[(np.frombuffer(p.as_buffer(), np.uint64) & np.uint64(counters - 1)).astype(np.int64)]) - usual
+                # what a counter has beyond the usual and its chance variation
+                other = _unscale(shared.value[(np.frombuffer(p.as_buffer(), np.uint64) & np.uint64(counters - 1)).astype(np.int64)]) - usual - 3 * usual**0.5
                 scan.append(float(np.sort(np.maximum(other, 1.0))[: int(prefix_length(np.array(s), threshold))].sum()))
             yield pa.RecordBatch.from_arrays([b.column("size"), pa.array(scan, pa.float64())], names=["size", "scan"])
 
