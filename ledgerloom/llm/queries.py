@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, toxicity, warc
@@ -78,29 +78,36 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, 1).where(F.col("tail_probability") >= 0.5)
 
 
+def _rot() -> Column:
+    """The byte of the md5 of a page's id that decides what happened to it."""
+    return F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+
+
 def rotten(pages: DataFrame) -> DataFrame:
-    """A replica of ``pages`` after bit rot: the md5 of a page's url decides
-    whether its first character changed (2 in 256) or it was lost (1 in 256)."""
-    byte = F.substring(F.md5("url"), 1, 2)
-    html = F.when(byte.isin("00", "01"), F.concat(F.lit("\u0000"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    return pages.where(byte != "02").select("page_id", "url", html.alias("html"))
+    """The records of a replica of ``pages`` after bit rot: the first character
+    of 2 pages in 256 changed, 1 in 256 was lost and 1 lies 16 bytes further;
+    the others are where they were."""
+    html = F.when(_rot().isin("00", "01"), F.concat(F.lit("\u0000"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    found = warc.records(pages.select("page_id", "url", html.alias("html")))
+    byte = F.coalesce(_rot(), F.lit(""))
+    return found.where(byte != "02").withColumn("offset", F.col("offset") + F.when(byte == "03", 16).otherwise(0))
 
 
 @query
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a rotten replica of the pages' WARC files differs from them."""
     pages = read(spark, sf_dir, "pages")
-    return warc.audit(warc.records(pages), warc.records(rotten(pages)))
+    return warc.audit(warc.records(pages), rotten(pages))
 
 
 ORACLE_SQL["op5_warc_audit"] = """
 WITH r AS (SELECT page_id, url, page_id // 4096 AS file,
   strlen('WARC/1.0..WARC-Type: resource..WARC-Record-ID: <urn:page:') + strlen(page_id::VARCHAR) + strlen('>..WARC-Target-URI: ') + strlen(url)
   + strlen('..Content-Type: text/html..Content-Length: ') + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4 AS length FROM pages),
-o AS (SELECT *, (sum(length) OVER (PARTITION BY file ORDER BY page_id))::BIGINT AS stop FROM r)
-SELECT file, page_id, CASE WHEN substr(md5(url), 1, 2) = '02' THEN 'missing' ELSE 'altered' END AS damage,
+o AS (SELECT *, (sum(length) OVER (PARTITION BY file ORDER BY page_id))::BIGINT AS stop, substr(md5(page_id::VARCHAR), 1, 2) AS rot FROM r)
+SELECT file, page_id, CASE rot WHEN '02' THEN 'missing' WHEN '03' THEN 'moved' ELSE 'altered' END AS damage,
        stop - length AS "begin", stop AS "end"
-FROM o WHERE substr(md5(url), 1, 2) IN ('00', '01', '02')
+FROM o WHERE rot IN ('00', '01', '02', '03')
 """
 
 #: Shards of the documents table.
@@ -169,12 +176,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op10_decontaminate"] = r"""
 WITH dw AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
 iw AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM benchmark),
-ig AS (SELECT id, len(w) AS m, unnest(range(0, greatest(len(w) - 4, 1))) AS p, w FROM iw WHERE len(w) > 0),
-s AS (SELECT DISTINCT id, m, array_to_string(w[p + 1:p + 5], ' ') AS g FROM ig),
+ig AS (SELECT id, len(w) AS m, least(len(w), 5) AS n, unnest(range(0, greatest(len(w) - 4, 1))) AS p, w FROM iw WHERE len(w) > 0),
+s AS (SELECT DISTINCT id, m, n, array_to_string(w[p + 1:p + n], ' ') AS g FROM ig),
 k AS (SELECT id, count(*) AS shingles FROM s GROUP BY id),
-dg AS (SELECT id, unnest(range(0, greatest(len(w) - 4, 1))) AS p, w FROM dw WHERE len(w) > 0),
+dg AS (SELECT id, n, unnest(range(0, len(w) - n + 1)) AS p, w FROM dw, (SELECT DISTINCT n FROM s) WHERE len(w) >= n),
 h AS (SELECT dg.id AS doc_id, dg.p, s.id AS item_id, s.m, s.g
-      FROM dg JOIN s ON s.g = array_to_string(dg.w[dg.p + 1:dg.p + 5], ' ')),
+      FROM dg JOIN s ON s.n = dg.n AND s.g = array_to_string(dg.w[dg.p + 1:dg.p + dg.n], ' ')),
 win AS (SELECT a.doc_id, a.item_id, a.p, count(DISTINCT b.g) AS found
         FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.item_id = b.item_id
                          AND b.p BETWEEN a.p AND a.p + greatest(a.m - 5, 0)
