@@ -6,7 +6,8 @@ every shard of the hash space has a cuckoo filter of the lines whose count is
 positive.  A batch asks the filters first: a line that its filter doesn't hold
 is surely new, and only the others are looked up in the counts.  Deleting
 documents subtracts their lines and takes lines that nobody holds any more out
-of the filters, after which they count as new again.
+of the filters, after which they count as new again.  A ledger of the inserted
+documents keeps a deletion to what was put in.
 
 Within an input task the repeats of a line are collapsed before the exchange,
 so a line that is everywhere costs one row per task.  Rows equal in id and text
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fresh_path, parallelism, require, sized_join, table
+from ._common import BROADCAST_BYTES, fresh_path, parallelism, plain, sized_join, table
 
 SLOTS = 4
 #: Lines for which a shard is laid out when an index is created.
@@ -98,20 +99,28 @@ class Cuckoo:
                     break
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    safe, (i, t) = plain(docs, id_col, text_col)
+    return safe.select(F.col(i).cast("long").alias("doc_id"), F.xxhash64(F.col(t)).alias("text_hash"), F.col(t).alias("text")).where(F.col("text").isNotNull())
+
+
+def _same(a: str, b: str) -> F.Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text_hash, text`` of the texts, repeated rows once.
 
     Only the rows that repeat are exchanged with their texts; all others stay
     in their tasks.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    rows = _texts(docs, id_col, text_col)
     again = table(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash"), "line-repeats")
     if again.isEmpty():
         return rows
     r, a = rows.alias("r"), again.alias("a")
-    same = F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.text_hash") == F.col("a.text_hash"))
-    once = sized_join(r, a, same, "left_semi", 16).groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
-    return sized_join(r, a, same, "left_anti", 16).unionByName(once)
+    once = sized_join(r, a, _same("r", "a"), "left_semi", 16).groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
+    return sized_join(r, a, _same("r", "a"), "left_anti", 16).unionByName(once)
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -150,6 +159,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.slice(at, 1 << 16)
 
 
+_LEDGER = "doc_id long, text_hash long, n long"
 _FILTERS = "shard int, buckets long, payload binary"
 _FILTER_ROW = pa.schema([("shard", pa.int32()), ("buckets", pa.int64()), ("payload", pa.binary())])
 
@@ -197,13 +207,13 @@ def _build(group: pa.Table) -> pa.Table:
 class LineIndex:
     """The lines of all documents that were inserted and not deleted.
 
-    Every change appends to ``changes`` (a Parquet table in the shared folder)
-    and writes a new set of filters, so a failed call leaves the index as it
-    was.  ``shards`` is fixed when the index is created.
+    Every change appends to ``changes`` and ``ledgers`` (Parquet tables in the
+    shared folder) and writes a new set of filters, so a failed call leaves the
+    index as it was.  ``shards`` is fixed when the index is created.
     """
 
-    def __init__(self, spark: SparkSession, path: str, shards: int, changes: tuple[str, ...] = (), filters: str | None = None):
-        self.spark, self.path, self.shards, self.changes, self.filters = spark, path, shards, changes, filters
+    def __init__(self, spark: SparkSession, path: str, shards: int, changes: tuple[str, ...] = (), filters: str | None = None, ledgers: tuple[str, ...] = ()):
+        self.spark, self.path, self.shards, self.changes, self.filters, self.ledgers = spark, path, shards, changes, filters, ledgers
 
     @staticmethod
     def create(spark: SparkSession, expected_lines: int = 0, path: str | None = None) -> LineIndex:
@@ -235,13 +245,23 @@ class LineIndex:
         rows = self.spark.read.schema("h1 long, h2 long, n long").parquet(*self.changes)
         return sized_join(rows, maybe, ["h1", "h2"], "left_semi", 16).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
 
-    def _after(self, delta: DataFrame, moved: DataFrame) -> LineIndex:
-        """The index with the signed counts ``delta`` added and the keys of
-        ``moved`` (``live``: came, else gone) changed in the filters."""
+    def documents(self) -> DataFrame:
+        """``doc_id, text_hash, n``: the texts that are in, and how often they
+        were put in: exact."""
+        if not self.ledgers:
+            return self.spark.createDataFrame([], _LEDGER)
+        rows = self.spark.read.schema(_LEDGER).parquet(*self.ledgers)
+        return rows.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
+
+    def _after(self, delta: DataFrame, moved: DataFrame, ledger: DataFrame) -> LineIndex:
+        """The index with the signed counts ``delta`` of lines and ``ledger``
+        of documents added and the keys of ``moved`` (``live``: came, else
+        gone) changed in the filters."""
         step = f"{len(self.changes)}-{uuid.uuid4().hex}"
-        at, to = f"{self.path}/changes-{step}", f"{self.path}/filters-{step}"
+        at, to, docs = (f"{self.path}/{name}-{step}" for name in ("changes", "filters", "ledger"))
         delta.select("h1", "h2", "n").write.parquet(at)
-        after = LineIndex(self.spark, self.path, self.shards, (*self.changes, at), to)
+        ledger.select("doc_id", "text_hash", F.col("n").cast("long").alias("n")).write.parquet(docs)
+        after = LineIndex(self.spark, self.path, self.shards, (*self.changes, at), to, (*self.ledgers, docs))
         keyed = moved.select(self._shard(), "h1", "h2", "live")
         if self.filters is None:
             # an empty index: the filters are built at their right size
@@ -256,13 +276,14 @@ class LineIndex:
         good.write.parquet(to)
         return after
 
-    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, LineIndex]:
+    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> tuple[DataFrame, LineIndex]:
         """``docs`` without the lines that the index or an earlier row holds,
-        and the index with all lines of ``docs``.  See ``dedup_lines``."""
-        require(docs, [id_col, text_col])
+        and the index with all lines of ``docs``.  See ``dedup_lines``.  What
+        is inserted again counts again."""
         order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash", "pos")
         every = Window.partitionBy("h1", "h2")
-        local = _lines(_rows(docs, id_col, text_col)).mapInArrow(_collapse, _COLLAPSED)
+        rows = _rows(docs, id_col, text_col)
+        local = _lines(rows).mapInArrow(_collapse, _COLLAPSED)
         ranked = table(local.withColumn("rank", F.row_number().over(order)).withColumn("total", F.sum("n").over(every)), "line-ranks")
         keys = ranked.where(F.col("rank") == 1).select("h1", "h2", F.col("total").alias("n"))
         first = F.col("rank") == 1
@@ -273,62 +294,78 @@ class LineIndex:
             moved = ranked.where(first).select("h1", "h2", F.lit(True).alias("live"))
         else:
             moved = keys.select("h1", "h2", F.lit(True).alias("live"))
-        after = self._after(keys, moved)
+        after = self._after(keys, moved, rows.select("doc_id", "text_hash", F.lit(1).alias("n")))
         me = F.array(F.struct("doc_id", "text_hash", "pos"))
         gone = ranked.where(~first | (F.size("others") > 0)).select(F.explode(F.when(first, F.col("others")).otherwise(F.concat(me, "others"))).alias("x"))
         drops = gone.select("x.*").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
-        return _without(docs, drops, id_col, text_col), after
+        return _without(docs, table(drops, "line-drops"), id_col, text_col, drop_emptied), after
 
     def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """The index without the lines of ``docs``, which hold their texts as
-        they were inserted.  More than was inserted is never taken away."""
-        require(docs, [id_col, text_col])
-        lines = _lines(_rows(docs, id_col, text_col)).groupBy("h1", "h2").agg(F.count("*").alias("less"))
+        """The index without the lines of ``docs``, which hold their ids and
+        texts as they were inserted.
+
+        Rows that aren't in the index, by id (null equal to null) and text, are
+        passed over, so that no other document's lines are taken.  Repeated
+        rows are one document and taken out once, however often it was put in.
+        Null texts are passed over; empty ones, and those of blank lines, have
+        no lines.  An empty table changes nothing.
+        """
+        asked = _rows(docs, id_col, text_col)
+        keys = table(asked.select("doc_id", "text_hash"), "line-asked")
+        k, d = keys.alias("k"), self.documents().alias("d")
+        unknown = table(k.join(d, _same("k", "d"), "left_anti"), "line-unknown")
+        if not unknown.isEmpty():
+            asked = sized_join(asked.alias("r"), unknown.alias("u"), _same("r", "u"), "left_anti", 16)
+            keys = k.join(unknown.alias("u"), _same("k", "u"), "left_anti")
+        lines = _lines(asked).groupBy("h1", "h2").agg(F.count("*").alias("less"))
         lines = table(lines, "line-deletes")
         held = self._held(lines)
         left = table(held.join(lines, ["h1", "h2"]).select("h1", "h2", "n", F.least("n", "less").alias("less")), "line-left")
         gone = left.where(F.col("n") == F.col("less")).select("h1", "h2", F.lit(False).alias("live"))
-        return self._after(left.select("h1", "h2", (-F.col("less")).alias("n")), gone)
+        return self._after(left.select("h1", "h2", (-F.col("less")).alias("n")), gone, keys.select("doc_id", "text_hash", F.lit(-1).alias("n")))
 
 
-def _without(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    d = docs.withColumn("__text_hash", F.xxhash64(F.col(f"`{text_col}`"))).alias("d")
-    same = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("x.doc_id")) & (F.col("d.__text_hash") == F.col("x.text_hash"))
-    joined = d.join(drops.alias("x"), same, "left").select(*[f"d.`{c}`" for c in docs.columns], F.col("x.drop").alias("__drop"))
-    at, wide = docs.columns.index(text_col), len(docs.columns)
+def _without(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str, drop_emptied: bool) -> DataFrame:
+    """``docs`` less the lines at the places in ``drops``, a table.  Only if it
+    is too large to broadcast do documents leave their tasks."""
+    safe, (i, t) = plain(docs, id_col, text_col)
+    held = drops.agg(F.count("*"), F.sum(F.size("drop"))).first()
+    if held[0] * 48 + (held[1] or 0) * 4 <= BROADCAST_BYTES:
+        drops = F.broadcast(drops)
+    same = F.col(i).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col(t)) == F.col("text_hash"))
+    joined = safe.join(drops, same, "left").select(*safe.columns, "drop")
+    at, wide = safe.columns.index(t), len(safe.columns)
+    kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in safe.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            drop = b.column(wide)
+            drop, columns, stay = b.column(wide), list(b.columns[:wide]), np.ones(b.num_rows, bool)
             if drop.null_count < b.num_rows:
-                texts = b.column(at).to_pylist()
-                for i in np.flatnonzero(drop.is_valid().to_numpy(zero_copy_only=False)):
-                    out = set(drop[int(i)].as_py())
-                    left = [x for k, x in enumerate(texts[i].split("\n")) if k not in out]
-                    texts[i] = "\n".join(left) if any(x.strip(" \t\n\x0b\f\r") for x in left) else ""
-                columns = list(b.columns[:wide])
-                columns[at] = pa.array(texts, b.column(at).type)
-                b = pa.RecordBatch.from_arrays(columns, names=kind.names)
-            else:
-                b = pa.RecordBatch.from_arrays(b.columns[:wide], names=kind.names)
-            yield b
-
-    return joined.mapInArrow(run, kind)
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None) -> DataFrame:
+                texts = columns[at].to_pylist()
+                for k in np.flatnonzero(drop.is_valid().to_numpy(zero_copy_only=False)):
+                    out = set(drop[int(k)].as_py())
+                    left = [x for n, x in enumerate(texts[k].split("\n")) if n not in out]
+                    stay[k] = any(x.strip(" \t\n\x0b\f\r") for x in left)
+                    texts[k] = "\n".join(left) if stay[k] else ""
+                columns[at] = pa.array(texts, columns[at].type)
+            b = pa.RecordBatch.from_arrays(columns, names=kind.names)
+            yield b.filter(pa.array(stay)) if drop_emptied and not stay.all() else b
+
+    return joined.mapInArrow(run, kind).toDF(*docs.columns)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None, drop_emptied: bool = False) -> DataFrame:
     """Every row, with all its columns, its text without repeated lines.
 
     Of equal lines (byte by byte, parted by line feeds) the first in the order
     of id (nulls last), text hash and position stays, unless ``index`` holds
     it already; blank lines are no lines and stay.  A text none of whose lines
-    is left becomes empty.  Rows equal in id and text are one document and get
+    is left becomes empty, or with ``drop_emptied`` its row goes.  Rows equal in id and text are one document and get
     the same text.  Null and empty texts stay as they are; an empty table
     gives an empty result.  Extra columns pass through, whatever their names.
     """
     index = index or LineIndex.create(docs.sparkSession, LINES_PER_SHARD)
-    return index.insert(docs, id_col, text_col)[0]
+    return index.insert(docs, id_col, text_col, drop_emptied)[0]
 
 
 def dedup_lines_reversibly(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,12 +373,12 @@ def dedup_lines_reversibly(docs: DataFrame, id_col: str = "doc_id", text_col: st
     to the middle id are put in, then all others, which are taken out again
     and put back.  So every line is inserted, and those of the later rows are
     asked for in the filters, looked up in the counts and deleted."""
-    require(docs, [id_col, text_col])
-    own = F.col(id_col).cast("long")
-    middle = docs.agg(F.percentile_approx(own, 0.5)).first()[0]
+    safe, (i, t) = plain(docs, id_col, text_col)
+    own = F.col(i).cast("long")
+    middle = safe.agg(F.percentile_approx(own, 0.5)).first()[0]
     early = F.coalesce(own <= F.lit(middle), F.lit(False))
-    first, later = docs.where(early), docs.where(~early)
-    kept, index = LineIndex.create(docs.sparkSession, LINES_PER_SHARD).insert(first, id_col, text_col)
-    _, both = index.insert(later, id_col, text_col)
-    again, _ = both.delete(later, id_col, text_col).insert(later, id_col, text_col)
-    return kept.unionByName(again)
+    first, later = safe.where(early), safe.where(~early)
+    kept, index = LineIndex.create(docs.sparkSession, LINES_PER_SHARD).insert(first, i, t)
+    _, both = index.insert(later, i, t)
+    again, _ = both.delete(later, i, t).insert(later, i, t)
+    return kept.unionByName(again).toDF(*docs.columns)

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from ledgerloom.llm import queries
+from ledgerloom.llm import line_dedup, queries
 from ledgerloom.llm.line_dedup import Cuckoo, LineIndex, dedup_lines
 
 
@@ -37,6 +37,20 @@ def test_matches_brute_force(docs):
     assert run(got) == brute(ROWS)
 
 
+def test_emptied_rows_go_and_extra_columns_stay(docs):
+    rows = [(1, "a\nb"), (2, "b\n\na"), (3, ""), (4, None), (5, "\n"), (6, "b\nc")]
+    df = docs(rows)
+    got = dedup_lines(df, drop_emptied=True)
+    assert run(got) == sorted([(1, "a\nb"), (3, ""), (4, None), (5, "\n"), (6, "c")], key=repr)
+    kept = {r[0]: tuple(r)[2:] for r in df.collect()}
+    assert all(tuple(r)[2:] == kept[r[0]] for r in got.collect())
+
+
+def test_drops_beyond_the_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    assert run(dedup_lines(docs(ROWS))) == brute(ROWS)
+
+
 def test_empty(docs):
     assert run(dedup_lines(docs([]))) == []
 
@@ -57,8 +71,14 @@ def test_insert_and_delete_are_reversible(spark, docs):
     empty = back.delete(docs(first))
     assert empty.counts().count() == 0
     assert run(empty.insert(docs(second))[0]) == [(3, "a\nc\nnew")]
-    # more is never taken away than is there
+    # what isn't there takes nothing away
     assert empty.delete(docs(first)).counts().count() == 0
+    others = [(9, "a\nb"), (1, "b\na"), (None, "a\nb"), (1, None), (1, "")]
+    same = two.delete(docs(others)).delete(docs([]))
+    assert key(same) == key(two) and sorted(map(tuple, same.documents().collect())) == sorted(map(tuple, two.documents().collect()))
+    # repeated rows are one document, null ids too
+    _, three = two.insert(docs([(None, "a\nq"), (None, "a\nq")]))
+    assert key(three.delete(docs([(None, "a\nq"), (None, "a\nq"), (4, "a\nq")]))) == key(two)
 
 
 def test_filter_agrees_with_counts_after_growth(spark, docs):
@@ -93,6 +113,7 @@ def test_repeated_rows_in_different_partitions(spark, docs):
     # an occurrence counts once, and all of them can be taken back
     assert sorted(r["n"] for r in index.counts().collect()) == [1, 1, 1, 2, 2, 2, 3]
     assert index.delete(df).counts().count() == 0
+    assert run(dedup_lines(df, drop_emptied=True)) == brute(every)
     left = corpus_pipeline._lines(spark, df.withColumn("n_chars", df["n"]), "")
     assert run(left) == brute(every)
 
