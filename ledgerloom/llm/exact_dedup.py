@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, parallelism, require, sized_join
+from ._common import cut, parallelism, plain, sized_join
 
 #: Bits of a fingerprint. 48 keep false suspects near one in 10,000 at 3e10 texts.
 FINGERPRINT_BITS = 48
+#: Fingerprints that one owner compares.
+OWNER_PRINTS = 1 << 24
 
 
 def rice_parameter(n: int, span: int) -> int:
@@ -126,11 +128,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``keep_id = doc_id`` there.  Ids may be null or occur twice.  Other columns
     are ignored, whatever their names.  An empty table gives an empty result.
     """
-    require(docs, [id_col, text_col])
-    spark = docs.sparkSession
-    owners = parallelism(spark)
+    safe, (i, t) = plain(docs, id_col, text_col)
+    rows = safe.select(F.col(i).cast("long").alias("doc_id"), F.col(t).alias("text")).where(F.col("text").isNotNull())
+    # no owner holds more than OWNER_PRINTS, as hashes are even
+    owners = max(parallelism(docs.sparkSession), -(-rows.count() // OWNER_PRINTS))
     span = -(-(1 << bits) // owners)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     fingerprint = F.shiftrightunsigned(F.xxhash64("text"), 64 - bits)
     lists = cut(rows.select(fingerprint.alias("print")).mapInArrow(_sender(owners, bits), _LISTS))
     bitmaps = lists.groupBy("owner").applyInArrow(_answer, _BITMAPS)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import require
+from ._common import plain, require
 from ._tokens import Block, lowered, mix, raw_blocks, words_of
 
 #: At most so many rated rows are used for fitting, shared between the grades.
@@ -41,19 +41,18 @@ def _fields(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each field the hash buckets and, per text and one more, where the
     text's buckets begin."""
     data, offsets = block.data, block.offsets
-    if len(data) >= 4:
-        s = _SHAPE[data]
+    if len(data):
+        s = np.concatenate((_SHAPE[data], np.zeros(3, np.uint32)))
         h = s[:-3] * np.uint32(0x9E3779B1) + s[1:-2] * np.uint32(0x85EBCA77) + s[2:-1] * np.uint32(0xC2B2AE3D) + s[3:] * np.uint32(0x27D4EB2F)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        # a window belongs to the text it begins in; the three that reach into
-        # the next text are put into one bucket
+        # a window belongs to the text it begins in; the three that reach over
+        # its end are put into one bucket, whatever follows
         bucket = (h >> np.uint32(16)).astype(np.int32)
-        inner = offsets[1:-1]
         for k in (1, 2, 3):
-            at = inner - k
-            bucket[at[(at >= 0) & (at < len(bucket))]] = 0
-        yield bucket, np.minimum(offsets, len(bucket))
+            at = offsets[1:] - k
+            bucket[at[at >= 0]] = 0
+        yield bucket, offsets
     else:
         yield np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
     words = words_of(Block(block.first, lowered(data), offsets))
@@ -110,6 +109,26 @@ class OrdinalModel:
         return tails[:, k - 1] if k <= tails.shape[1] else np.zeros(len(tails))
 
 
+def gradient(params: np.ndarray, score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean weighted negative log-likelihood, its gradient by ``params``
+    (the first threshold and the logs of the gaps) and ``len(y)`` times that
+    by the scores.  ``y`` are places in the order of the grades."""
+    k = len(params)
+    cuts = np.concatenate(([params[0]], params[0] + np.cumsum(np.exp(params[1:]))))
+    edge = 1 / (1 + np.exp(-np.clip(cuts[None, :] - score[:, None], -30, 30)))  # P(y <= k)
+    low = np.column_stack((np.zeros(len(y)), edge))
+    high = np.column_stack((edge, np.ones(len(y))))
+    row = np.arange(len(y))
+    p = np.maximum(high[row, y] - low[row, y], 1e-9)
+    d_high = high[row, y] * (1 - high[row, y]) / p * weight
+    d_low = low[row, y] * (1 - low[row, y]) / p * weight
+    d_cut = np.zeros(k)
+    np.add.at(d_cut, np.minimum(y, k - 1), -d_high * (y < k))
+    np.add.at(d_cut, np.maximum(y - 1, 0), d_low * (y > 0))
+    d_par = np.concatenate(([d_cut.sum()], np.cumsum(d_cut[::-1])[::-1][1:] * np.exp(params[1:]))) / len(y)
+    return float((-np.log(p) * weight).mean()), d_par, d_high - d_low
+
+
 def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], epochs: int = 40, rate: float = 0.5, l2: float = 1e-6, seed: int = 7) -> OrdinalModel:
     """Proportional-odds fit by minibatch Adagrad, grades weighted evenly.
 
@@ -138,19 +157,7 @@ def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], epochs: int = 40, rate
             value = np.concatenate([rows[i][2] for i in own])
             of = np.repeat(np.arange(len(own)), size)
             s = np.bincount(of, weights[index] * value, minlength=len(own))
-            cuts = np.concatenate(([params[0]], params[0] + np.cumsum(np.exp(params[1:]))))
-            edge = 1 / (1 + np.exp(-np.clip(cuts[None, :] - s[:, None], -30, 30)))  # P(y <= k)
-            low = np.column_stack((np.zeros(len(own)), edge))
-            high = np.column_stack((edge, np.ones(len(own))))
-            rowwise, c = np.arange(len(own)), y[own]
-            p = np.maximum(high[rowwise, c] - low[rowwise, c], 1e-9)
-            d_high = high[rowwise, c] * (1 - high[rowwise, c]) / p * weight[own]
-            d_low = low[rowwise, c] * (1 - low[rowwise, c]) / p * weight[own]
-            d_s = d_high - d_low  # of the negative log-likelihood
-            d_cut = np.zeros(k)
-            np.add.at(d_cut, np.minimum(c, k - 1), -d_high * (c < k))
-            np.add.at(d_cut, np.maximum(c - 1, 0), d_low * (c > 0))
-            d_par = np.concatenate(([d_cut.sum()], np.cumsum(d_cut[::-1])[::-1][1:] * np.exp(params[1:]))) / len(own)
+            _, d_par, d_s = gradient(params, s, y[own], weight[own])
             grad = np.bincount(index, value * d_s[of], minlength=BUCKETS) / len(own)
             used = np.flatnonzero(grad)
             step = grad[used] + l2 * weights[used]
@@ -178,9 +185,9 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     Ratings without an id, a grade or a text are passed over; several ratings
     of one text each count.
     """
-    require(docs, [id_col, text_col])
-    require(ratings, [id_col, grade_col])
-    rated = ratings.select(F.col(id_col).cast("long").alias("doc_id"), F.col(grade_col).cast("double").alias("grade")).dropna()
+    docs, (i, t) = plain(docs, id_col, text_col)
+    ratings, (r, g) = plain(ratings, id_col, grade_col)
+    rated = ratings.select(F.col(r).cast("long").alias("doc_id"), F.col(g).cast("double").alias("grade")).dropna()
     grades = [r[0] for r in rated.select("grade").distinct().collect()]
     if not grades:
         return fit([])
@@ -188,7 +195,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     for g in sorted(grades):
         part = rated.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, max_train // len(grades)))
         sample = part if sample is None else sample.unionAll(part)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    texts = docs.select(F.col(i).cast("long").alias("doc_id"), F.col(t).alias("text")).where(F.col("text").isNotNull())
     # the sample is bounded by max_train, so it may always be broadcast
     joined = texts.join(F.broadcast(sample), "doc_id").select("grade", "text")
     table = joined.mapInArrow(_featurise, "grade double, index array<int>, value array<float>").toArrow()
@@ -213,9 +220,11 @@ def score(docs: DataFrame, model: OrdinalModel, at_least: float, id_col: str = "
 
     ``tail_probability`` is P(grade >= at_least).  A null text counts as
     empty; an empty text has no features and gets the score of the thresholds
-    alone.  Equal texts get equal results.  Repeated rows are scored each.
+    alone.  Equal texts get equal results, however long.  Repeated rows are
+    scored each, null ids are given as null.  Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
-    require(docs, [id_col, text_col])
+    safe, (i, t) = plain(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +232,19 @@ def score(docs: DataFrame, model: OrdinalModel, at_least: float, id_col: str = "
             expected, tail = _score_column(b.column(1), shared.value, at_least)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(expected), pa.array(tail)], names=["doc_id", "expected_grade", "tail_probability"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
+    return safe.select(F.col(i).cast("long").alias("doc_id"), F.col(t).alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
 
 
 def select_quality(docs: DataFrame, model: OrdinalModel, at_least: float, min_probability: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose P(grade >= at_least) reaches
-    ``min_probability``.  Nothing is joined, so ids may be null or repeated."""
+    ``min_probability``.
+
+    Nothing is joined, so ids may be null or repeated, and each of repeated
+    rows stays or goes as its text does.  A null text counts as an empty one,
+    which has the probability of the thresholds alone.  A probability that is
+    just ``min_probability`` is enough.  Extra columns pass through, whatever
+    their names; an empty table gives an empty result.
+    """
     require(docs, [text_col])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -238,7 +254,8 @@ def select_quality(docs: DataFrame, model: OrdinalModel, at_least: float, min_pr
             _, tail = _score_column(b.column(at), shared.value, at_least)
             yield b.filter(pa.array(tail >= min_probability))
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
+    safe, _ = plain(docs, text_col)
+    return safe.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in safe.schema.fields])).toDF(*docs.columns)
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:

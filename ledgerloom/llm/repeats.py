@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, discard, parallelism, require, table
+from ._common import BROADCAST_BYTES, discard, parallelism, plain, table
 from ._tokens import blocks, grams_of
 
 #: Words of a passage.
@@ -256,11 +256,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     share an id each give theirs.  Ids may be null.  Other columns are
     ignored; an empty table gives an empty result.
     """
-    require(docs, [id_col, text_col])
+    safe, (i, t) = plain(docs, id_col, text_col)
     if length < 3:
         raise ValueError("a passage has at least 3 words")
     anchor, window, first, offsets = plan(length)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    rows = safe.select(F.col(i).cast("long").alias("doc_id"), F.xxhash64(F.col(t)).alias("text_hash"), F.col(t).alias("text")).where(F.col("text").isNotNull())
     found = rows.mapInArrow(_anchors(anchor, window), "k1 long, doc_id long, text_hash long, pos int")
     twins = found.repartition(parallelism(docs.sparkSession), "k1").sortWithinPartitions("k1").mapInArrow(_runs(1, False), "doc_id long, text_hash long, pos int")
     places = table(twins.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("places")), "repeat-anchors")

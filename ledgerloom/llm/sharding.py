@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import require, table
+from ._common import plain, table
 
 #: Groups in a block.  The driver holds 16 bytes per block, about 12 MB for
 #: 5e10 groups.
@@ -110,11 +110,11 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     Repeated rows each have their size and are all returned.  An empty table
     gives an empty result.  Other columns are ignored.
     """
-    require(docs, [id_col, text_col])
+    safe, (i, t) = plain(docs, id_col, text_col)
     if shards < 1:
         raise ValueError("at least one shard is needed")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("size"))
+    rows = safe.select(F.col(i).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(t)), F.lit(0)).cast("long").alias("size"))
     groups = table(rows.groupBy("doc_id").agg(F.sum("size").alias("size")), "shard-groups")
     known = groups.where(F.col("doc_id").isNotNull())
     parts = max(1, -(-known.count() // block))
@@ -160,4 +160,4 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
             shard[column.is_null().to_numpy(zero_copy_only=False)] = len(edges.value) + last
             yield pa.RecordBatch.from_arrays([column, pa.array(shard.astype(np.int32))], names=["doc_id", "shard"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, shard int")
+    return safe.select(F.col(i).cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, shard int")

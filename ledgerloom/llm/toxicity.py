@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import require, table
+from ._common import plain, table
 from ._tokens import Block, Words, lowered, raw_blocks, words_of
 
 #: At most so many labelled rows are used for fitting.
@@ -287,7 +287,8 @@ def mine(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ``sample`` has ``y, text``.  A term counts once a text, equal texts count
     once.  It is taken if the evidence against independence, n KL(share of
     toxic || overall share), exceeds the log of the number of terms by 4, and
-    at least four in five of its texts are toxic.
+    at least four in five of its texts are toxic.  Terms of fewer than 3 toxic
+    texts are not considered.
     """
     once = sample.groupBy(F.xxhash64("text")).agg(F.max("y").alias("y"), F.first("text").alias("text")).select("y", "text")
     base = once.agg(F.avg(F.when(F.col("y") > 0.5, 1.0).otherwise(0.0))).first()[0]
@@ -297,8 +298,8 @@ def mine(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     share = F.col("toxic") / F.col("n")
     rest = F.when(share < 1, (F.col("n") - F.col("toxic")) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     evidence = F.col("toxic") * F.log(share / base) + rest
-    # only terms of at least 3 toxic texts can pass; the sample bounds them
-    found = counts.where((F.col("toxic") >= 3) & (share >= 0.8)).select("kind", "term", evidence.alias("evidence")).where(F.col("evidence") > 4 + float(np.log(20000))).toPandas()
+    counts = table(counts.where("toxic >= 3"), "toxicity-terms")
+    found = counts.where(share >= 0.8).select("kind", "term", evidence.alias("evidence")).where(F.col("evidence") > 4 + float(np.log(max(1, counts.count())))).toPandas()
     part = lambda k: np.unique(found.term[found.kind == k].to_numpy(np.int64).view(np.uint64))
     return part(0), part(1)
 
@@ -310,11 +311,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels without an id, a flag or a text are passed over; a doc labelled
     more than once counts each time.
     """
-    require(docs, [id_col, text_col])
-    require(labels, [id_col, label_col])
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna()
+    docs, (i, t) = plain(docs, id_col, text_col)
+    labels, (k, flag) = plain(labels, id_col, label_col)
+    known = labels.select(F.col(k).cast("long").alias("doc_id"), F.col(flag).cast("double").alias("y")).dropna()
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    texts = docs.select(F.col(i).cast("long").alias("doc_id"), F.col(t).alias("text")).where(F.col("text").isNotNull())
     # the sample is bounded by max_train, so it may always be broadcast
     held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held")), F.lit(HOLD_OUT)) == 0
     rows = table(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "y", held.alias("held"), "text"), "toxicity-sample")
@@ -341,9 +342,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     A null text counts as empty, and an empty one has all features zero.
     Equal texts get equal results; repeated rows are scored each; ids may be
-    null.  Other columns are ignored, whatever their names.
+    null.  Other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
-    require(docs, [id_col, text_col])
+    safe, (i, t) = plain(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,4 +353,4 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             p = shared.value.probability(_rows(b.column(1), shared.value.lexicon))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["doc_id", "toxicity"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, toxicity double")
+    return safe.select(F.col(i).cast("long").alias("doc_id"), F.col(t).alias("text")).mapInArrow(run, "doc_id long, toxicity double")
