@@ -25,9 +25,45 @@ class BackendError(Exception):
 
 @dataclass(frozen=True)
 class Capabilities:
-    pull: bool = True
+    """What a tracker can do beyond being read."""
+
     push: bool = False
-    comment: bool = False
+    comments: bool = False
+    transitions_required: bool = False
+    custom_fields: bool = False
+    single_assignee: bool = False
+    hierarchy: bool = False
+    relations: bool = False
+
+
+@dataclass(frozen=True)
+class FieldMapping:
+    """Which of a tracker's own fields hold a ticket's; None for its usual."""
+
+    title: str | None = None
+    assignee: str | None = None
+    priority: str | None = None
+    status: str | None = None
+
+    def renamed(self, items: DataFrame) -> DataFrame:
+        """Items with the mapped columns under the tickets' names."""
+        return items.withColumnsRenamed({own: name for name, own in vars(self).items() if own is not None})
+
+
+def number_of(uid: str) -> int:
+    """The number at the end of ``project#number``."""
+    m = re.fullmatch(r"[^#]*#(\d+)", uid)
+    if not m:
+        raise ValueError(f"bad uid {uid!r}")
+    return int(m.group(1))
+
+
+def board_uid(uid: str) -> tuple[str, str, int]:
+    """``owner/repository#number``."""
+    m = re.fullmatch(r"([^/#]+)/([^/#]+)#(\d+)", uid)
+    if not m:
+        raise ValueError(f"bad uid {uid!r}")
+    return m.group(1), m.group(2), int(m.group(3))
 
 
 def next_link(header: str | None) -> str | None:
@@ -46,7 +82,7 @@ class Tracker:
     token: str = ""
     mapping: dict | None = None
     config: dict = field(default_factory=dict)
-    capabilities = Capabilities(push=True, comment=True)
+    capabilities = Capabilities(push=True, comments=True)
 
     def _call(self, method: str, path: str, body: object = None) -> tuple[dict, object]:
         url = path if "://" in path else self.base + path
@@ -68,6 +104,10 @@ class Tracker:
                 return
             cursor = after
 
+    def get(self, uid: str) -> dict:
+        """One item by its uid."""
+        raise Unsupported(type(self).__name__)
+
     def set_state(self, uid: str, category: str) -> None:
         raise Unsupported(type(self).__name__)
 
@@ -84,10 +124,10 @@ class GitHubIssues(Tracker):
         return [x for x in found if not x.get("pull_request")], next_link(headers.get("link"))
 
     def _issue(self, uid: str) -> str:
-        m = re.fullmatch(r".*#(\d+)", uid)
-        if not m:
-            raise ValueError(f"bad uid {uid!r}")
-        return f"/repos/{self.config['repository']}/issues/{m.group(1)}"
+        return f"/repos/{self.config['repository']}/issues/{number_of(uid)}"
+
+    def get(self, uid):
+        return self._call("GET", self._issue(uid))[1]
 
     def set_state(self, uid, category):
         closed = category in ("Done", "Canceled")
@@ -100,28 +140,70 @@ class GitHubIssues(Tracker):
 
 class _GraphQL(Tracker):
     def _query(self, query: str, variables: dict) -> dict:
+        """The data of an answer; its errors, or no data at all, are an error."""
         _, answer = self._call("POST", "/graphql", {"query": query, "variables": variables})
         if answer.get("errors"):
-            raise BackendError(json.dumps(answer["errors"]))
+            raise BackendError("; ".join(str(e.get("message", e)) for e in answer["errors"]))
+        if answer.get("data") is None:
+            raise BackendError("the answer has no data")
         return answer["data"]
 
 
+def _found(value: object, what: str) -> object:
+    if value is None:
+        raise BackendError(what)
+    return value
+
+
 class GitHubProject(_GraphQL):
+    """The issues of a project board.  ``config``: ``owner`` (an organization)
+    and ``number`` of the board; the column is its field ``Status``."""
+
     capabilities = Capabilities(push=True)
+    ISSUE = "number title body author { login } repository { nameWithOwner } assignees(first: 10) { nodes { login } } labels(first: 20) { nodes { name } }"
+    STATUS = 'fieldValueByName(name: "Status") { ... on ProjectV2ItemFieldSingleSelectValue { optionId name } }'
+    ITEMS = (
+        "query ($owner: String!, $board: Int!, $after: String) { organization(login: $owner) { projectV2(number: $board) { items(after: $after, first: 100) "
+        f"{{ nodes {{ content {{ __typename ... on Issue {{ {ISSUE} }} }} {STATUS} }} pageInfo {{ endCursor hasNextPage }} }} }} }} }}"
+    )
+    CARDS = (
+        "query ($owner: String!, $name: String!, $issue: Int!) { repository(name: $name, owner: $owner) { issue(number: $issue) { projectItems(first: 20) "
+        '{ nodes { id project { number id field(name: "Status") { ... on ProjectV2SingleSelectField { options { name id } id } } } } } } } }'
+    )
+    MOVE = (
+        "mutation ($board: ID!, $card: ID!, $field: ID!, $column: String!) { updateProjectV2ItemFieldValue(input: "
+        "{ value: { singleSelectOptionId: $column }, fieldId: $field, itemId: $card, projectId: $board }) { projectV2Item { id } } }"
+    )
 
     def page(self, cursor):
-        board = self._query("board items", {"owner": self.config["owner"], "number": self.config["number"], "after": cursor})["owner"]["projectV2"]["items"]
+        data = self._query(self.ITEMS, {"owner": self.config["owner"], "board": int(self.config["number"]), "after": cursor})
+        board = _found((data.get("organization") or {}).get("projectV2"), f"no board {self.config['number']}")["items"]
         kept = [x for x in board["nodes"] if (x.get("content") or {}).get("__typename") == "Issue"]
         return kept, board["pageInfo"]["endCursor"] if board["pageInfo"]["hasNextPage"] else None
 
     def set_state(self, uid, category):
+        """Move the issue's card to the column that stands for the category."""
         column = column_for(category, self.mapping or {"values": {}}, self.config.get("overrides"))
-        self._query("move item", {"uid": uid, "column": column})
+        owner, name, issue = board_uid(uid)
+        data = self._query(self.CARDS, {"owner": owner, "name": name, "issue": issue})
+        found = _found((data.get("repository") or {}).get("issue"), f"no issue {uid}")
+        card = next((n for n in found["projectItems"]["nodes"] if n["project"]["number"] == int(self.config["number"])), None)
+        board = _found(card, f"{uid} is not on board {self.config['number']}")["project"]
+        status = _found(board.get("field"), "the board has no single-select field Status")
+        option = next((o for o in status["options"] if o["name"].lower() == column.lower()), None)
+        self._query(self.MOVE, {"board": board["id"], "card": card["id"], "field": status["id"], "column": _found(option, f"no column {column!r}")["id"]})
 
 
 class Jira(Tracker):
+    capabilities = Capabilities(push=True, comments=True, transitions_required=True)
+    #: What ``jira_issues`` reads; without a list only ids are returned.
+    FIELDS = ("summary", "description", "status", "resolution", "issuetype", "priority", "assignee", "reporter", "labels", "project")
+
+    def get(self, uid):
+        return self._call("GET", f"/rest/api/3/issue/{uid}?fields={','.join(self.FIELDS)}")[1]
+
     def page(self, cursor):
-        body = {"jql": self.config.get("jql", ""), "maxResults": 100} | ({"nextPageToken": cursor} if cursor else {})
+        body = {"jql": self.config.get("jql", ""), "fields": list(self.FIELDS), "maxResults": 100} | ({"nextPageToken": cursor} if cursor else {})
         _, found = self._call("POST", "/rest/api/3/search/jql", body)
         return found["issues"], found.get("nextPageToken")
 
@@ -140,16 +222,32 @@ class Jira(Tracker):
 
 class Linear(_GraphQL):
     TYPES = {"Triage": "triage", "Backlog": "backlog", "Open": "unstarted", "InProgress": "started", "Pending": "started", "Done": "completed", "Canceled": "canceled"}
+    ISSUE = "identifier id priority title description assignee { displayName } creator { displayName } team { name key } project { name } state { type name } labels { nodes { name } }"
+    ISSUES = f"query ($after: String, $first: Int) {{ issues(after: $after, first: $first) {{ nodes {{ {ISSUE} }} pageInfo {{ endCursor hasNextPage }} }} }}"
+    ONE = f"query ($uid: String!) {{ issue(id: $uid) {{ {ISSUE} }} }}"
+    STATES = "query ($uid: String!) { issue(id: $uid) { team { states { nodes { type id } } } } }"
+    MOVE = "mutation ($uid: String!, $state: String!) { issueUpdate(input: { stateId: $state }, id: $uid) { success } }"
+    COMMENT = "mutation ($uid: String!, $text: String!) { commentCreate(input: { body: $text, issueId: $uid }) { success } }"
 
     def page(self, cursor):
-        found = self._query("issues", {"first": 100, "after": cursor})["issues"]
+        found = self._query(self.ISSUES, {"first": 100, "after": cursor})["issues"]
         return found["nodes"], found["pageInfo"]["endCursor"] if found["pageInfo"]["hasNextPage"] else None
 
+    def get(self, uid):
+        return _found(self._query(self.ONE, {"uid": uid}).get("issue"), f"no issue {uid}")
+
+    def _done(self, mutation: str, name: str, variables: dict) -> None:
+        if not self._query(mutation, variables)[name]["success"]:
+            raise BackendError(f"{name} was refused")
+
     def set_state(self, uid, category):
-        self._query("set state", {"id": uid, "type": self.TYPES[category]})
+        """States belong to teams: that of the issue's team with the type."""
+        issue = _found(self._query(self.STATES, {"uid": uid}).get("issue"), f"no issue {uid}")
+        state = next((s for s in issue["team"]["states"]["nodes"] if s["type"] == self.TYPES[category]), None)
+        self._done(self.MOVE, "issueUpdate", {"uid": uid, "state": _found(state, f"the team has no state of type {self.TYPES[category]!r}")["id"]})
 
     def comment(self, uid, text):
-        self._query("comment", {"id": uid, "body": text})
+        self._done(self.COMMENT, "commentCreate", {"uid": uid, "text": text})
 
 
 class GitLab(Tracker):
@@ -158,10 +256,10 @@ class GitLab(Tracker):
         return found, headers.get("x-next-page") or None
 
     def _issue(self, uid: str) -> str:
-        m = re.fullmatch(r".*#(\d+)", uid)
-        if not m:
-            raise ValueError(f"bad uid {uid!r}")
-        return f"/api/v4/projects/{self.config['project'].replace('/', '%2F')}/issues/{m.group(1)}"
+        return f"/api/v4/projects/{self.config['project'].replace('/', '%2F')}/issues/{number_of(uid)}"
+
+    def get(self, uid):
+        return self._call("GET", self._issue(uid))[1]
 
     def set_state(self, uid, category):
         terminal = category in ("Done", "Canceled")
@@ -181,6 +279,9 @@ class Asana(Tracker):
         _, found = self._call("GET", f"/api/1.0/projects/{self.config['project']}/tasks?limit=100&opt_fields={self.FIELDS}" + (f"&offset={cursor}" if cursor else ""))
         return found["data"], (found.get("next_page") or {}).get("offset")
 
+    def get(self, uid):
+        return self._call("GET", f"/api/1.0/tasks/{uid}?opt_fields={self.FIELDS}")[1]["data"]
+
     def set_state(self, uid, category):
         terminal = category in ("Done", "Canceled")
         if not terminal and self._signal() == "section":

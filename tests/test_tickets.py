@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ def test_github(spark):
 
 def test_project_items(spark):
     schema = "fieldValueByName struct<name: string, optionId: string>, content struct<__typename: string, number: bigint, title: string, body: string, repository struct<nameWithOwner: string>, labels struct<nodes: array<struct<name: string>>>, assignees struct<nodes: array<struct<login: string>>>, author struct<login: string>>".replace("repository struct", "repository: struct").replace("labels struct", "labels: struct").replace("assignees struct", "assignees: struct").replace("author struct", "author: struct")
-    items = [{"fieldValueByName": {"name": "in PROGRESS", "optionId": "o"}, "content": {"__typename": "Issue", "number": 4, "title": "T", "repository": {"nameWithOwner": "o/r"}}}, {"content": {"__typename": "DraftIssue", "title": "d"}}, {"content": {"__typename": "PullRequest", "number": 1}}, {"content": {"__typename": "Issue", "number": 5, "repository": {"nameWithOwner": "o/r"}}}]
-    got = t.github_project_items(rows(spark, items, schema), {"values": {"In Progress": "InProgress"}, "default": "Open"}).collect()
-    assert [(r["uid"], r["state"]["category"], r["state"]["raw_name"]) for r in got] == [("o/r#4", "InProgress", "in PROGRESS"), ("o/r#5", "Open", "")]
+    items = [{"fieldValueByName": {"name": "almost DONE", "optionId": "o"}, "content": {"__typename": "Issue", "number": 4, "title": "T", "repository": {"nameWithOwner": "o/r"}}}, {"content": {"__typename": "DraftIssue", "title": "d"}}, {"content": {"__typename": "PullRequest", "number": 1}}, {"content": {"__typename": "Issue", "number": 5, "repository": {"nameWithOwner": "o/r"}}}]
+    got = t.github_project_items(rows(spark, items, schema), {"values": {"Almost done": "InProgress"}, "default": "Open"}).collect()
+    assert [(r["uid"], r["state"]["category"], r["state"]["raw_name"]) for r in got] == [("o/r#4", "InProgress", "almost DONE"), ("o/r#5", "Open", "")]
 
 
 def test_jira(spark):
@@ -116,3 +117,88 @@ def test_paged_sources(spark):
         trackers.GitHubProject(http, "").comment("x", "y")
     with pytest.raises(LookupError):
         trackers.select_connection([{"name": "a"}, {"name": "b"}])
+
+
+class Recorded:
+    """An HTTP function that keeps its calls and answers from a list."""
+
+    def __init__(self, *answers):
+        self.answers, self.calls = list(answers), []
+
+    def __call__(self, method, url, headers, body):
+        self.calls.append((method, url, body))
+        return 200, {}, self.answers.pop(0)
+
+
+def fields_of(query):
+    """A GraphQL text as nested sets of field names, which must be balanced."""
+    stack, last = [{}], None
+    for token in re.findall(r"[{}]|\.\.\. on \w+|\([^)]*\)|\w+", query):
+        if token == "{":
+            stack.append(stack[-1].setdefault(last, {}))
+        elif token == "}":
+            stack.pop()
+        elif token[0] != "(":
+            last = token
+            stack[-1].setdefault(token, {})
+    assert len(stack) == 1
+    return stack[0]
+
+
+def test_board_queries():
+    node = {"content": {"__typename": "Issue", "number": 4}}
+    items = {"data": {"organization": {"projectV2": {"items": {"nodes": [node, {"content": {"__typename": "DraftIssue"}}, {"content": None}], "pageInfo": {"hasNextPage": False, "endCursor": "z"}}}}}}
+    cards = {"data": {"repository": {"issue": {"projectItems": {"nodes": [{"id": "c0", "project": {"number": 1}}, {"id": "c7", "project": {"number": 7, "id": "B", "field": {"id": "F", "options": [{"id": "o1", "name": "Todo"}, {"id": "o2", "name": "Shipped"}]}}}]}}}}}
+    http = Recorded(items, cards, {"data": {"updateProjectV2ItemFieldValue": {}}})
+    board = trackers.GitHubProject(http, "https://api", "t", {"values": {"shipped": "Done"}, "default": "Open"}, {"owner": "acme", "number": 7})
+    assert board.page(None) == ([node], None)
+    board.set_state("acme/shop#4", "Done")
+    (_, url, first), (_, _, second), (_, _, third) = http.calls
+    assert url == "https://api/graphql" and first["variables"] == {"owner": "acme", "board": 7, "after": None}
+    tree = fields_of(first["query"])["query"]["organization"]["projectV2"]["items"]
+    issue = tree["nodes"]["content"]["... on Issue"]
+    assert {"number", "title", "body", "author", "repository", "assignees", "labels"} <= set(issue) and set(tree["pageInfo"]) == {"endCursor", "hasNextPage"}
+    assert set(tree["nodes"]["fieldValueByName"]["... on ProjectV2ItemFieldSingleSelectValue"]) == {"name", "optionId"}
+    assert second["variables"] == {"owner": "acme", "name": "shop", "issue": 4}
+    assert third["variables"] == {"board": "B", "card": "c7", "field": "F", "column": "o2"} and "updateProjectV2ItemFieldValue" in third["query"]
+    for answer in ({"errors": [{"message": "bad"}]}, {"data": None}, {"data": {"organization": None}}):
+        with pytest.raises(trackers.BackendError):
+            trackers.GitHubProject(Recorded(answer), "", config={"owner": "o", "number": 1}).page(None)
+    with pytest.raises(ValueError):
+        trackers.board_uid("shop#4")
+
+
+def test_linear_queries():
+    states = {"data": {"issue": {"team": {"states": {"nodes": [{"id": "s1", "type": "started"}, {"id": "s2", "type": "completed"}]}}}}}
+    page = {"data": {"issues": {"nodes": [{"id": "i"}], "pageInfo": {"hasNextPage": True, "endCursor": "n"}}}}
+    http = Recorded(page, states, {"data": {"issueUpdate": {"success": True}}}, {"data": {"commentCreate": {"success": False}}}, states, {"data": {"issue": None}})
+    linear = trackers.Linear(http, "https://l")
+    assert linear.page("c") == ([{"id": "i"}], "n")
+    linear.set_state("i", "Done")
+    for call in (lambda: linear.comment("i", "text"), lambda: linear.set_state("i", "Triage"), lambda: linear.get("i")):
+        with pytest.raises(trackers.BackendError):
+            call()
+    bodies = [c[2] for c in http.calls]
+    issue = fields_of(bodies[0]["query"])["query"]["issues"]["nodes"]
+    assert {"id", "identifier", "title", "description", "priority", "state", "assignee", "creator", "labels", "team", "project"} <= set(issue)
+    assert bodies[0]["variables"] == {"first": 100, "after": "c"} and bodies[2]["variables"] == {"uid": "i", "state": "s2"}
+    assert "issueUpdate" in bodies[2]["query"] and bodies[3]["variables"] == {"uid": "i", "text": "text"} and "commentCreate" in bodies[3]["query"]
+
+
+def test_other_trackers_ask_for_what_they_read():
+    http = Recorded({"issues": [], "nextPageToken": "t"}, {"key": "P-1"}, {"iid": 3}, {"data": {"gid": "9"}}, {"number": 2})
+    jira = trackers.Jira(http, "https://j", config={"jql": "project = P"})
+    assert jira.page("t") == ([], "t") and jira.get("P-1") == {"key": "P-1"}
+    body = http.calls[0][2]
+    assert body["jql"] == "project = P" and body["nextPageToken"] == "t"
+    assert {"summary", "description", "status", "resolution", "issuetype", "priority", "assignee", "reporter", "labels", "project"} == set(body["fields"])
+    assert trackers.GitLab(http, "", config={"project": "g/p"}).get("g/p#3") == {"iid": 3} and http.calls[-1][1] == "/api/v4/projects/g%2Fp/issues/3"
+    assert trackers.Asana(http, "").get("9") == {"gid": "9"} and trackers.GitHubIssues(http, "", config={"repository": "o/r"}).get("o/r#2") == {"number": 2}
+    flags = trackers.Jira.capabilities
+    assert flags.push and flags.comments and flags.transitions_required and not flags.hierarchy
+    assert not trackers.GitHubProject.capabilities.comments
+
+
+def test_field_mapping(spark):
+    items = spark.createDataFrame([("a", "b")], "col7 string, person string")
+    assert trackers.FieldMapping(title="col7", assignee="person").renamed(items).columns == ["title", "assignee"]
