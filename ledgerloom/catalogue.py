@@ -231,3 +231,5 @@ _register("ticket_state_map", _on("tickets")(lambda t: t.select("uid", tickets.c
 _register("ticket_priority_rank", _on("tickets")(lambda t: t.select("uid", tickets.priority_rank(F.col("priority")).cast("int").alias("rank"))), ("tickets",), "SELECT uid, CASE priority WHEN 'Urgent' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END AS rank FROM tickets")
 _register("ticket_upsert_outcomes", _on("store_rows")(lambda r: upsert_outcomes(_side(r, "A"), _side(r, "B").select("namespace", "collection", "id", "hash"), ["namespace", "collection", "id"]).select("namespace", "collection", "id", "outcome")), ("store_rows",), "SELECT b.namespace, b.collection, b.id, CASE WHEN a.id IS NULL THEN 'imported' WHEN a.hash <> b.hash THEN 'updated' ELSE 'unchanged' END AS outcome FROM (SELECT * FROM store_rows WHERE store = 'B') b LEFT JOIN (SELECT * FROM store_rows WHERE store = 'A') a ON a.collection = b.collection AND a.id = b.id")
 _register("ticket_ingest_summary", _on("store_rows")(lambda r: summary(upsert_outcomes(_side(r, "A"), _side(r, "B").select("namespace", "collection", "id", "hash"), ["namespace", "collection", "id"]))), ("store_rows",), "SELECT count(*) FILTER (WHERE a.id IS NULL) AS imported, count(*) FILTER (WHERE a.hash <> b.hash) AS updated, count(*) FILTER (WHERE a.hash = b.hash) AS unchanged FROM (SELECT * FROM store_rows WHERE store = 'B') b LEFT JOIN (SELECT * FROM store_rows WHERE store = 'A') a ON a.collection = b.collection AND a.id = b.id")
+
+from . import scenarios as _scenarios  # noqa: E402, F401  (registers its queries here)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import in_tests, language_of
-from ._shared import cut, sized
+from ._shared import cut
 
 
 @dataclass(frozen=True)
@@ -80,20 +80,28 @@ def neighborhood(refs: DataFrame, name: str) -> DataFrame:
 def impact(refs: DataFrame, name: str) -> DataFrame:
     """All that call ``name`` directly or through others, without ``name``.
 
-    A breadth-first search: each level is one join of the frontier with the
-    distinct edges, less what was seen.  Lineage is cut once a level, and the
-    loop ends with an empty frontier, so cycles do no harm.
+    A breadth-first search.  The frontier is joined with the distinct edges
+    and what was seen taken off; lineage is cut once for every ``LEVELS``
+    levels, after which an unchanged number of names ends the loop, so cycles
+    do no harm.
     """
-    edges = cut(refs.where(F.col("from_fn").isNotNull()).select("name", "from_fn").distinct())
-    spark = refs.sparkSession
-    seen = spark.createDataFrame([(name,)], "name string")
-    frontier = seen
+    edges = cut(refs.where(F.col("from_fn").isNotNull()).select("name", F.col("from_fn").alias("to")).distinct())
+    start = refs.sparkSession.createDataFrame([(name, 0)], "name string, level int")
+    seen, frontier, level = start, start, 0
     while True:
-        reached = edges.join(sized(frontier), "name", "left_semi").select(F.col("from_fn").alias("name")).distinct()
-        frontier = cut(reached.join(seen, "name", "left_anti"))
+        found = [seen]
+        for _ in range(LEVELS):
+            level += 1
+            frontier = edges.join(frontier, "name", "left_semi").select(F.col("to").alias("name")).distinct().withColumn("level", F.lit(level))
+            found.append(frontier)
+        every = found[0]
+        for f in found[1:]:
+            every = every.union(f)
+        # a name counts on the level that it was reached on first
+        seen = cut(every.groupBy("name").agg(F.min("level").alias("level")))
+        frontier = seen.where(F.col("level") == level)
         if frontier.isEmpty():
-            return seen.where(F.col("name") != name).orderBy("name")
-        seen = cut(seen.union(frontier))
+            return seen.where(F.col("name") != name).select("name").orderBy("name")
 
 
 def totals(symbols: DataFrame, refs: DataFrame) -> DataFrame:
@@ -117,6 +125,27 @@ def largest_files(symbols: DataFrame, limit: int) -> DataFrame:
     return symbols.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "path").limit(limit)
 
 
+def overview(symbols: DataFrame, refs: DataFrame, largest: int = 20) -> DataFrame:
+    """One row: the totals, ``by_kind`` and ``by_language`` as sorted lists of
+    ``name, n``, and the ``largest`` files as ``path, n``.  Kinds, languages
+    and files listed are few, so each list is one small aggregate."""
+
+    def listed(df: DataFrame, name: str, order: list) -> DataFrame:
+        key = df.columns[0]
+        entry = F.struct(*order, F.struct(F.col(key).alias("path" if key == "path" else "name"), "n").alias("x"))
+        return df.agg(F.sort_array(F.collect_list(entry)).alias(name)).select(F.col(f"{name}.x").alias(name))
+
+    parts = [
+        listed(by_kind(symbols), "by_kind", [F.col("kind").alias("k")]),
+        listed(by_language(symbols), "by_language", [F.col("language").alias("k")]),
+        listed(largest_files(symbols, largest), "largest", [(-F.col("n")).alias("k"), F.col("path").alias("p")]),
+    ]
+    out = totals(symbols, refs)
+    for p in parts:
+        out = out.crossJoin(F.broadcast(p))
+    return out
+
+
 def scores(symbols: DataFrame, refs: DataFrame, ranking: str) -> DataFrame:
     """``name, score``: paths that define a name, references to it, or the
     distinct names it refers to."""
@@ -191,6 +220,8 @@ def first_per_key(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+#: Levels of a search between two cuts of its lineage.
+LEVELS = 4
 SYMBOL_KEY, REF_KEY = ["path", "name", "kind"], ["path", "from_fn", "name"]
 
 
