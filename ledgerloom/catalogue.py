@@ -54,13 +54,13 @@ _COS = f"coalesce(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 0)"
 
 _register("vector_topk", lambda s, d: _rounded(vector.topk(spark_view(s, d, "vectors"), _query_vector(s, d), 10)), ("vectors",), f"SELECT namespace, collection, id, round({_COS}, 6) AS score FROM vectors ORDER BY {_COS} DESC, id LIMIT 10")
 _register("vector_topk_prefix", lambda s, d: _rounded(vector.topk(spark_view(s, d, "vectors"), _query_vector(s, d), 10, "emb", "l3")), ("vectors",), f"SELECT namespace, collection, id, round({_COS}, 6) AS score FROM vectors WHERE collection = 'l3' ORDER BY {_COS} DESC, id LIMIT 10")
-_register("vector_topk_each", lambda s, d: _rounded(vector.topk_each(spark_view(s, d, "vectors"), s.read.parquet(f"{d}/embeddings.parquet").where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)), ("vectors",), """
+_register("vector_topk_each", lambda s, d: _rounded(vector.topk_each(spark_view(s, d, "vectors"), s.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)), ("vectors",), """
 SELECT query_id, namespace, collection, id, round(score, 6) AS score, rank FROM (
   SELECT q.vec_id AS query_id, v.namespace, v.collection, v.id, s.score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s.score DESC, v.collection, v.id) AS rank
-  FROM embeddings q CROSS JOIN vectors v CROSS JOIN LATERAL (SELECT list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score) s WHERE q.label = 0)
+  FROM embeddings q CROSS JOIN vectors v CROSS JOIN LATERAL (SELECT list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score) s WHERE q.vec_id % 50 = 0)
 WHERE rank <= 5""")
 
-# every row asks, where vector_topk_each asks for label 0 only
+# every row asks, where vector_topk_each asks for every fiftieth
 _register("vector_topk_every", lambda s, d: _rounded(vector.topk_each(spark_view(s, d, "vectors"), s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)), ("vectors",), """
 SELECT query_id, namespace, collection, id, round(score, 6) AS score, rank FROM (
   SELECT q.vec_id AS query_id, v.namespace, v.collection, v.id, s.score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s.score DESC, v.collection, v.id) AS rank
@@ -195,8 +195,8 @@ _PAIR = "(SELECT path, hash FROM manifest WHERE view_id = 'a') a FULL JOIN (SELE
 _register("manifest_reconcile", _on("manifest")(lambda m: manifest.reconcile(_main(m, "a"), _main(m, "b")).select("path", "change")), ("manifest",), f"SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.hash <> b.hash THEN 'modified' ELSE 'unchanged' END AS change FROM {_PAIR}")
 _register("manifest_body", _on("manifest")(lambda m: manifest.to_body(m).select("view_id", F.sha2("body", 256).alias("digest"))), ("manifest",), "SELECT view_id, sha256('{' || string_agg('\"' || path || '\":\"' || hash || '\"', ',' ORDER BY path) || '}') AS digest FROM manifest GROUP BY view_id")
 _register("views_summary", _on("manifest")(manifest.views), ("manifest",), "SELECT repo, view_id, count(*) AS paths FROM manifest GROUP BY 1, 2")
-_register("blob_gc", _on("blobs", "manifest")(lambda b, m: manifest.sweep(b, _main(m, "b"))), ("blobs", "manifest"), "SELECT hash FROM blobs WHERE hash NOT IN (SELECT hash FROM manifest WHERE view_id = 'b')")
-_register("blob_gc_report", _on("blobs", "manifest")(lambda b, m: manifest.gc_report(b, _main(m, "b"))), ("blobs", "manifest"), "SELECT count(*) FILTER (WHERE hash NOT IN (SELECT hash FROM manifest WHERE view_id = 'b')) AS freed, count(*) FILTER (WHERE hash IN (SELECT hash FROM manifest WHERE view_id = 'b')) AS retained FROM blobs")
+_register("blob_gc", _on("blobs", "manifest")(manifest.sweep), ("blobs", "manifest"), "SELECT hash FROM blobs WHERE hash NOT IN (SELECT hash FROM manifest)")
+_register("blob_gc_report", _on("blobs", "manifest")(manifest.gc_report), ("blobs", "manifest"), "SELECT count(*) FILTER (WHERE hash NOT IN (SELECT hash FROM manifest)) AS freed, count(*) FILTER (WHERE hash IN (SELECT hash FROM manifest)) AS retained FROM blobs")
 _register("blob_dedup", lambda s, d: manifest.distinct_blobs(s.read.parquet(f"{d}/documents.parquet"), "text"), (), "SELECT sha256(text) AS hash, any_value(strlen(text)) AS len, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
 
 # --- stores --------------------------------------------------------------

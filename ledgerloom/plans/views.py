@@ -37,7 +37,7 @@ SELECT 'r' AS repo, v.view_id, concat('doc/', CAST(doc_id AS STRING)) AS path,
   CASE WHEN v.view_id = 'b' AND doc_id % 7 = 0 THEN SHA(concat(text, '!')) ELSE SHA(text) END AS hash
 FROM {documents} CROSS JOIN (SELECT 'a' AS view_id UNION ALL SELECT 'b') v
 WHERE (v.view_id = 'a' AND doc_id % 10 <> 0) OR (v.view_id = 'b' AND doc_id % 10 <> 1)""",
-    "blobs": "SELECT DISTINCT SHA(text) AS hash FROM {documents}",
+    "blobs": "SELECT DISTINCT SHA(text) AS hash FROM {documents} UNION SELECT SHA(concat(text, '?')) FROM {documents} WHERE doc_id % 9 = 0",
     "store_rows": """
 SELECT s.store, 'ns' AS namespace,
   CASE WHEN o_orderkey % 4 = 0 THEN 'topic' WHEN o_orderkey % 4 = 1 THEN 'memory_tier' WHEN o_orderkey % 4 = 2 THEN 'checkpoint' ELSE 'graph_manifest' END AS collection,
