@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.tickets import Unsupported, choose_transition, column_for
+from ..functions.tickets import Unsupported, asana_tasks, choose_transition, column_for, github_issues, github_project_items, gitlab_issues, jira_issues, linear_issues
 
 Http = Callable[[str, str, dict, object], tuple[int, dict, object]]
 
@@ -104,6 +104,16 @@ class Tracker:
                 return
             cursor = after
 
+    #: The schema of an item, and how items become tickets.
+    SCHEMA = ""
+
+    def normalise(self, items: DataFrame) -> DataFrame:
+        raise Unsupported(type(self).__name__)
+
+    def tickets(self, spark: SparkSession) -> DataFrame:
+        """All items of the tracker as tickets."""
+        return self.normalise(load(spark, self.items, self.SCHEMA))
+
     def get(self, uid: str) -> dict:
         """One item by its uid."""
         raise Unsupported(type(self).__name__)
@@ -119,6 +129,11 @@ class Tracker:
 
 
 class GitHubIssues(Tracker):
+    SCHEMA = "number bigint, node_id string, title string, body string, state string, state_reason string, labels array<struct<name: string>>, assignees array<struct<login: string>>, user struct<login: string>, html_url string, pull_request struct<url: string>"
+
+    def normalise(self, items):
+        return github_issues(items, self.config["repository"])
+
     def page(self, cursor):
         headers, found = self._call("GET", cursor or f"/repos/{self.config['repository']}/issues?state=all&per_page=100")
         return [x for x in found if not x.get("pull_request")], next_link(headers.get("link"))
@@ -175,6 +190,11 @@ class GitHubProject(_GraphQL):
         "{ value: { singleSelectOptionId: $column }, fieldId: $field, itemId: $card, projectId: $board }) { projectV2Item { id } } }"
     )
 
+    SCHEMA = "fieldValueByName struct<name: string, optionId: string>, content struct<__typename: string, number: bigint, title: string, body: string, repository: struct<nameWithOwner: string>, labels: struct<nodes: array<struct<name: string>>>, assignees: struct<nodes: array<struct<login: string>>>, author: struct<login: string>>"
+
+    def normalise(self, items):
+        return github_project_items(items, self.mapping or {"values": {}, "default": "Open"})
+
     def page(self, cursor):
         data = self._query(self.ITEMS, {"owner": self.config["owner"], "board": int(self.config["number"]), "after": cursor})
         board = _found((data.get("organization") or {}).get("projectV2"), f"no board {self.config['number']}")["items"]
@@ -202,6 +222,11 @@ class Jira(Tracker):
     def get(self, uid):
         return self._call("GET", f"/rest/api/3/issue/{uid}?fields={','.join(self.FIELDS)}")[1]
 
+    SCHEMA = "key string, id string, fields struct<summary: string, description: string, status: struct<name: string, id: string, statusCategory: struct<key: string>>, issuetype: struct<name: string>, priority: struct<name: string>, assignee: struct<accountId: string, displayName: string>, reporter: struct<accountId: string, displayName: string>, labels: array<string>, project: struct<key: string, name: string>, resolution: struct<name: string>>"
+
+    def normalise(self, items):
+        return jira_issues(items, self.mapping)
+
     def page(self, cursor):
         body = {"jql": self.config.get("jql", ""), "fields": list(self.FIELDS), "maxResults": 100} | ({"nextPageToken": cursor} if cursor else {})
         _, found = self._call("POST", "/rest/api/3/search/jql", body)
@@ -229,6 +254,11 @@ class Linear(_GraphQL):
     MOVE = "mutation ($uid: String!, $state: String!) { issueUpdate(input: { stateId: $state }, id: $uid) { success } }"
     COMMENT = "mutation ($uid: String!, $text: String!) { commentCreate(input: { body: $text, issueId: $uid }) { success } }"
 
+    SCHEMA = "id string, identifier string, title string, description string, priority int, state struct<name: string, type: string>, assignee struct<displayName: string>, creator struct<displayName: string>, labels struct<nodes: array<struct<name: string>>>, team struct<key: string, name: string>, project struct<name: string>"
+
+    def normalise(self, items):
+        return linear_issues(items, self.mapping)
+
     def page(self, cursor):
         found = self._query(self.ISSUES, {"first": 100, "after": cursor})["issues"]
         return found["nodes"], found["pageInfo"]["endCursor"] if found["pageInfo"]["hasNextPage"] else None
@@ -251,6 +281,11 @@ class Linear(_GraphQL):
 
 
 class GitLab(Tracker):
+    SCHEMA = "iid bigint, title string, description string, state string, labels array<string>, assignees array<struct<username: string>>, author struct<username: string>, issue_type string, references struct<full: string>"
+
+    def normalise(self, items):
+        return gitlab_issues(items, self.config["project"], self.mapping)
+
     def page(self, cursor):
         headers, found = self._call("GET", f"/api/v4/projects/{self.config['project'].replace('/', '%2F')}/issues?per_page=100&page={cursor or 1}")
         return found, headers.get("x-next-page") or None
@@ -275,6 +310,11 @@ class GitLab(Tracker):
 class Asana(Tracker):
     FIELDS = "gid,name,notes,html_notes,completed,assignee.name,created_by.name,memberships.project.name,memberships.section.name,custom_fields,tags.name,permalink_url"
 
+    SCHEMA = "gid string, name string, notes string, html_notes string, completed boolean, assignee struct<name: string>, created_by struct<name: string>, memberships array<struct<project: struct<gid: string, name: string>, section: struct<name: string>>>, custom_fields array<struct<gid: string, enum_value: struct<name: string>, display_value: string>>, tags array<struct<name: string>>, permalink_url string"
+
+    def normalise(self, items):
+        return asana_tasks(items, self.mapping)
+
     def page(self, cursor):
         _, found = self._call("GET", f"/api/1.0/projects/{self.config['project']}/tasks?limit=100&opt_fields={self.FIELDS}" + (f"&offset={cursor}" if cursor else ""))
         return found["data"], (found.get("next_page") or {}).get("offset")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import knowledge, manifest, sync
-from ledgerloom.operators.store import RECORD, NotFound, RecordStore
+from ledgerloom.operators.store import RECORD, Files, NotFound, RecordStore, Rejected
 from ledgerloom.operators.vector import HashedIndex, remove, topk, upsert
 from ledgerloom.sources.files import file_tree, ignored, migrate, read_json_store
 
@@ -107,20 +107,20 @@ def test_manifest_round_trip(spark):
 def test_knowledge(spark):
     from ledgerloom.functions.vectors import bag_of_words
 
-    rows = [("ns", "s", "diluted", "session", '{"name":"n","turns":[{"role":"u","text":"gamma"},{"role":"u","text":"gamma"},{"role":"u","text":"alpha"},{"role":"u","text":"alpha"}]}'), ("ns", "t", "decoy", "topic", '{"slug":"s","bullets":["gamma alpha beta delta"]}'), ("ns", "m", "tier", "memory_tier", '{"name":"m","content":"p one\\n\\n\\n\\np two"}'), ("ns", "k", "tick", "ticket", '{"title":"T","labels":["x","y"],"body":{"markdown":"para"}}'), ("ns", "c", "cp", "checkpoint", "junk")]
+    rows = [("ns", "s", "spread", "session", '{"name":"n","turns":[{"role":"u","text":"gamma"},{"role":"u","text":"gamma"},{"role":"u","text":"alpha"},{"role":"u","text":"alpha"}]}'), ("ns", "t", "other", "topic", '{"slug":"s","bullets":["gamma alpha beta delta"]}'), ("ns", "m", "tier", "memory_tier", '{"name":"m","content":"p one\\n\\n\\n\\np two"}'), ("ns", "k", "tick", "ticket", '{"title":"T","labels":["x","y"],"body":{"markdown":"para"}}'), ("ns", "c", "cp", "checkpoint", "junk")]
     records = spark.createDataFrame(rows, "namespace string, collection string, id string, kind string, body string")
     chunks = knowledge.chunk(records)
     texts = {(r["id"], r["ordinal"]): r["text"] for r in chunks.collect()}
-    assert texts["diluted", 0] == "n\ngamma" and texts["tier", 1] == "p two" and texts["tick", 0] == "T\nx y" and not any(k[0] == "cp" for k in texts)
+    assert texts["spread", 0] == "n\ngamma" and texts["tier", 1] == "p two" and texts["tick", 0] == "T\nx y" and not any(k[0] == "cp" for k in texts)
     empty = spark.createDataFrame([], "namespace string, collection string, id string, ordinal int, chunk_id string, text string, embedding array<float>")
     stored = knowledge.ingest(empty, records, bag_of_words())
     gamma = [float(x) for x in bag_of_words()(["gamma"])[0]]
     got = [r["id"] for r in knowledge.query(stored, gamma, 2).collect()]
-    assert got[0] == "diluted" and got.count("diluted") == 1
-    assert [r["id"] for r in knowledge.query_records(stored, records.where("id <> 'decoy'"), gamma, 2).collect()][0] == "diluted"
-    shorter = records.where("id = 'diluted'").withColumn("body", F.lit('{"name":"n","turns":[]}'))
-    assert knowledge.ingest(stored, shorter, bag_of_words()).where("id = 'diluted'").count() == 1
-    assert knowledge.remove(stored, shorter).where("id = 'diluted'").count() == 0
+    assert got[0] == "spread" and got.count("spread") == 1
+    assert [r["id"] for r in knowledge.query_records(stored, records.where("id <> 'other'"), gamma, 2).collect()][0] == "spread"
+    shorter = records.where("id = 'spread'").withColumn("body", F.lit('{"name":"n","turns":[]}'))
+    assert knowledge.ingest(stored, shorter, bag_of_words()).where("id = 'spread'").count() == 1
+    assert knowledge.remove(stored, shorter).where("id = 'spread'").count() == 0
 
 
 def test_vector_index(spark):
@@ -162,3 +162,66 @@ def test_reads_a_json_store(spark, tmp_path):
     (tmp_path / "ns" / "topic" / "x.json").write_text(json.dumps(doc, indent=2))
     r = read_json_store(spark, str(tmp_path)).first()
     assert (r["id"], r["kind"], bytes(r["body"]["inline"]), r["meta"]["labels"]) == ("x", "memory_tier", b"h\xff", {"a": "b"})
+
+
+def test_a_put_writes_one_collection(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path))
+    store.put(puts(spark, record("a", b"1"), record("b", b"2", collection="other"), record("c", b"3", collection="third")), author="me", message="first")
+    before = store.history()[-1]
+    assert (before["author"], before["message"], len(before["parts"])) == ("me", "first", 3)
+    store.put(puts(spark, record("d", b"4", collection="other")))
+    after = store.history()[-1]
+    assert len(after["changed"]) == 1 and sum(before["parts"][k] != after["parts"][k] for k in after["parts"]) == 1
+    assert sorted(r["id"] for r in store.list("ns", "other").collect()) == ["b", "d"]
+    # a delete of what isn't there commits nothing
+    none = spark.createDataFrame([("ns", "other", "zz", None)], "namespace string, collection string, id string, expected struct<counter: bigint, hash: string>")
+    assert outcome(store.delete(none)) == [("zz", "deleted")] and store.version() == 2
+    only = none.select("namespace", F.lit("third").alias("collection"), F.lit("c").alias("id"), "expected")
+    store.delete(only)
+    assert store.list("ns", "third").count() == 0 and store.records().count() == 3
+    assert store.vacuum() >= 1 and store.records().count() == 3
+    assert store._files.names(f"{tmp_path}/pending") == []
+
+
+def test_pull_and_push(spark, tmp_path):
+    a, b = RecordStore(spark, f"{tmp_path}/a"), RecordStore(spark, f"{tmp_path}/b")
+    a.put(puts(spark, record("x", b"1")))
+    assert b.pull(a) == {"fast_forwarded": True, "version": 1} and b.pull(a)["fast_forwarded"] is False
+    b.put(puts(spark, record("y", b"2", collection="other")))
+    assert b.push(a) == {"fast_forwarded": True, "version": 2}
+    assert sorted(r["id"] for r in a.records().collect()) == ["x", "y"]
+    assert all(p["path"].startswith(f"{tmp_path}/a/") for p in a.history()[-1]["parts"].values())
+    a.put(puts(spark, record("z", b"3")))
+    with pytest.raises(Rejected):
+        b.push(a)
+    b.put(puts(spark, record("w", b"4")))
+    for call in (lambda: b.pull(a), lambda: b.push(a)):
+        with pytest.raises(Rejected):
+            call()
+
+
+def test_blobs_are_listed_and_collected(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path))
+    store.put_blobs(spark.createDataFrame([(b"one",), (b"two",)], "content binary"))
+    store.put_blobs(spark.createDataFrame([(b"three",), (b"two",)], "content binary"))
+    assert sorted(r["len"] for r in store.list_blobs().collect()) == [3, 3, 5]
+    import hashlib
+
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    body = '{"p":"%s"}' % digest(b"two")
+    store.put(puts(spark, record("v", body.encode(), collection="graph_manifest", kind="graph_manifest")))
+    assert tuple(store.collect_garbage().first()) == (2, 1)
+    assert [bytes(r["content"]) for r in store.blobs().collect()] == [b"two"]
+    assert tuple(store.collect_garbage().first()) == (0, 1)
+    assert store.delete_blobs(spark.createDataFrame([(digest(b"two"),), ("x",)], "hash string")) == 1 and store.blobs().count() == 0
+
+
+def test_stores_without_conditional_writes_are_refused(spark):
+    class Odd:
+        def getScheme(self):
+            return "odd"
+
+    files = Files(spark)
+    files._at = lambda path: (Odd(), None)
+    with pytest.raises(ValueError, match="conditionally"):
+        files.create("odd://x/y", "z")
