@@ -45,7 +45,7 @@ OWNER_ENTRIES = 4_000_000
 #: Grams and sets of which all overlaps are counted together.
 BLOCK_GRAMS, BLOCK_SETS = 1_000_000, 2048
 #: Entries that a task packs at once, and pairs that an owner holds at once.
-SEND_ENTRIES, PAIR_BUDGET = 2_000_000, 4_000_000
+SEND_ENTRIES, PAIR_BUDGET = 1_000_000, 1_000_000
 #: List entries that are scanned in the time in which one subset is sent to
 #: where it meets its equals: 24 bytes through a shuffle and a sort.
 SUBSET_COST = 32
@@ -269,7 +269,7 @@ def encode_list(gram: np.ndarray, index: np.ndarray) -> bytes:
     """Ascending 32-bit values with their set numbers, compressed."""
     import zstandard
 
-    gaps = np.diff(gram, prepend=np.uint64(0))
+    gaps = np.diff(gram.astype(np.uint64), prepend=np.uint64(0))
     width = max(1, (int(index.max(initial=0)).bit_length() + 7) // 8)
     body = _planes(gaps, 4) + _planes(index, width)
     return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(body)
@@ -329,9 +329,14 @@ def _unpack(tables: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
 def _prefixes(n: int, owners: int, threshold: float, levels, per_send: int):
     """The rarest grams of every set, packed for their owners."""
 
-    def send(gram, text, ids, sizes) -> Iterator[pa.RecordBatch]:
-        owner = ((gram >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
-        return _packed(owner, mix(gram.copy()) & _LOW32, text, ids, sizes, owners)
+    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # a task's memory peaks here, so nothing is kept wider or longer than needed
+        gram, text, ids, sizes = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        owner = ((gram >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int32)
+        low = (mix(gram) & _LOW32).astype(np.uint32)
+        del gram
+        return _packed(owner, low, text, ids, sizes, owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
@@ -348,13 +353,13 @@ def _prefixes(n: int, owners: int, threshold: float, levels, per_send: int):
                 leads = np.zeros(s.texts, bool)
                 leads[np.unique(np.column_stack((s.id, s.check)), axis=0, return_index=True)[1]] = True
                 keep &= leads[s.text]
-                held.append((s.gram[rank][keep], s.text[keep] + texts, s.id, s.size))
+                held.append((s.gram[rank[keep]], (s.text[keep] + texts).astype(np.int32), s.id, s.size.astype(np.int32)))
                 entries, texts = entries + int(keep.sum()), texts + s.texts
                 if entries >= per_send:
-                    yield from send(*(np.concatenate(x) for x in zip(*held)))
-                    held, entries, texts = [], 0, 0
+                    yield from send(held)
+                    entries = texts = 0
         if entries:
-            yield from send(*(np.concatenate(x) for x in zip(*held)))
+            yield from send(held)
 
     return run
 
