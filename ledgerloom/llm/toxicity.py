@@ -140,12 +140,17 @@ def dense_features(block: Block, lexicon: Lexicon) -> np.ndarray:
     out[:, 10] = _sum(_LOUD[data], offsets) / chars
     out[:, 11] = _sum(punct, offsets) / chars
     if len(data) > 2:
+        # neighbours count within a text only
+        some = np.flatnonzero(np.diff(offsets))
+        first, last = offsets[some], offsets[some + 1] - 1
         same = np.zeros(len(data), np.uint8)
         same[1:] = punct[1:] & (data[1:] == data[:-1])
+        same[first] = 0
         out[:, 12] = _sum(same, offsets) / chars
         for column, table in ((13, _DIGIT), (14, _SYMBOL)):
             flags = np.zeros(len(data), np.uint8)
             flags[1:-1] = table[data[1:-1]] & letter[:-2] & letter[2:]
+            flags[first] = flags[last] = 0
             out[:, column] = _sum(flags, offsets) / per_word
     out[:, 15] = np.log1p(count)
     stem, text = _stems_of(low, words)
