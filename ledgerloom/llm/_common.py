@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,19 +105,69 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_enough(materialised: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a materialised frame may be broadcast, by counting its rows."""
-    return materialised.count() * row_bytes <= limit
+def small_enough(materialised: DataFrame, row_bytes: int, limit: int | None = None) -> bool:
+    """Whether a materialised frame may be broadcast, by counting its rows.
+
+    ``row_bytes`` are those of its values; the hashed rows that are sent hold
+    them twice, with about 72 bytes for each row.
+    """
+    return materialised.count() * (72 + 2 * row_bytes) <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def _bits(rows: int) -> int:
+    """Bits of a bitmap of hashes, a power of two up to 32 MiB of them."""
+    return 1 << min(28, max(16, (rows * 16).bit_length()))
+
+
+def _marked(small: DataFrame, key: Column, bits: int) -> np.ndarray:
+    """The bitmap of the low bits of ``key``, a long of even hashes."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = [np.empty(0, np.int64)]
+        for b in batches:
+            slots.append(np.unique(b.column(0).drop_null().to_numpy() & (bits - 1)))
+        slot = np.unique(np.concatenate(slots))
+        used, back = np.unique(slot >> 3, return_inverse=True)
+        value = np.zeros(len(used), np.int32)
+        np.bitwise_or.at(value, back, np.left_shift(np.int32(1), (slot & 7).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(value)], names=["at", "bits"])
+
+    got = small.select(key.alias("key")).mapInArrow(part, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits >> 3, np.uint8)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
+    return out
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: Column | list[str], how: str, row_bytes: int) -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, on: Column | list[str], how: str, row_bytes: int, hashes: tuple[Column, Column] | None = None) -> DataFrame:
     """Join that broadcasts ``small`` only after its size has been checked.
 
     ``small`` must be materialised.  Beyond the limit both sides are shuffled.
+    With ``hashes``, a long of even hashes of the key on either side, rows of
+    ``big`` whose hash is surely not in ``small`` (by a bitmap of bounded size)
+    are not: of an anti or left join they are results as they are.
     """
     if small_enough(small, row_bytes):
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+        return big.join(F.broadcast(small), on, how)
+    if hashes is None:
+        return big.join(small, on, how)
+    bits = _bits(small.count())
+    shared = big.sparkSession.sparkContext.broadcast(_marked(small, hashes[1], bits))
+
+    @F.pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        slot = keys.fillna(0).to_numpy(np.int64) & (bits - 1)
+        return pd.Series((shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
+
+    found = big.where(may(hashes[0])).join(small, on, how)
+    if how not in ("left", "left_anti"):
+        return found
+    # a join by names puts these first
+    first = on if isinstance(on, list) else []
+    kept = big.where(~may(hashes[0]))
+    rest = kept.select(*first, *[c for c in kept.columns if c not in first]) if first else kept
+    for f in found.schema.fields[len(big.columns) :]:
+        rest = rest.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return found.union(rest)
 
 
 def require(df: DataFrame, columns: Iterable[str]) -> None:

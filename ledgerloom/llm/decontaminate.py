@@ -217,4 +217,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bad = cut(contaminated(docs, items, id_col=id_col, text_col=text_col, **options).select("doc_id", "text_hash").distinct())
     safe, (i, t) = plain(docs, id_col, text_col)
     same = F.col(i).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col(t)) == F.col("text_hash"))
-    return sized_join(safe, bad, same, "left_anti", 16).toDF(*docs.columns)
+    return sized_join(safe, bad, same, "left_anti", 16, (F.xxhash64(F.col(t)), F.col("text_hash"))).toDF(*docs.columns)

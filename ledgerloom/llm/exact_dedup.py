@@ -137,7 +137,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = cut(rows.select(fingerprint.alias("print")).mapInArrow(_sender(owners, bits), _LISTS))
     bitmaps = lists.groupBy("owner").applyInArrow(_answer, _BITMAPS)
     suspects = cut(lists.join(bitmaps, ["sender", "owner"]).mapInArrow(_marked(span), "print long").distinct())
-    sent = sized_join(rows.withColumn("print", fingerprint), suspects, ["print"], "left_semi", 16)
+    own = F.xxhash64("print")
+    sent = sized_join(rows.withColumn("print", fingerprint), suspects, ["print"], "left_semi", 16, (own, own))
     same = Window.partitionBy("print", "text").orderBy(F.col("doc_id").asc_nulls_last())
     numbered = sent.select("doc_id", F.first("doc_id").over(same).alias("keep_id"), (F.row_number().over(same) - 1).cast("long").alias("copy_no"))
     return numbered.where(F.col("copy_no") > 0)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import BROADCAST_BYTES, fresh_path, parallelism, plain, sized_join, table
+from ._common import fresh_path, parallelism, plain, sized_join, table
 
 SLOTS = 4
 #: Lines for which a shard is laid out when an index is created.
@@ -119,8 +119,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if again.isEmpty():
         return rows
     r, a = rows.alias("r"), again.alias("a")
-    once = sized_join(r, a, _same("r", "a"), "left_semi", 16).groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
-    return sized_join(r, a, _same("r", "a"), "left_anti", 16).unionByName(once)
+    once = sized_join(r, a, _same("r", "a"), "left_semi", 16, (F.col("text_hash"), F.col("text_hash"))).groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
+    return sized_join(r, a, _same("r", "a"), "left_anti", 16, (F.col("text_hash"), F.col("text_hash"))).unionByName(once)
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -327,13 +327,13 @@ class LineIndex:
 
 def _without(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str, drop_emptied: bool) -> DataFrame:
     """``docs`` less the lines at the places in ``drops``, a table.  Only if it
-    is too large to broadcast do documents leave their tasks."""
+    is too large to broadcast do documents leave their tasks, and then only
+    those that lose a line."""
     safe, (i, t) = plain(docs, id_col, text_col)
     held = drops.agg(F.count("*"), F.sum(F.size("drop"))).first()
-    if held[0] * 48 + (held[1] or 0) * 4 <= BROADCAST_BYTES:
-        drops = F.broadcast(drops)
+    row_bytes = 16 + 4 * -(-(held[1] or 0) // max(1, held[0]))
     same = F.col(i).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col(t)) == F.col("text_hash"))
-    joined = safe.join(drops, same, "left").select(*safe.columns, "drop")
+    joined = sized_join(safe, drops, same, "left", row_bytes, (F.xxhash64(F.col(t)), F.col("text_hash"))).select(*safe.columns, "drop")
     at, wide = safe.columns.index(t), len(safe.columns)
     kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in safe.schema.fields])
 

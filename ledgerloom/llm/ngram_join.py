@@ -770,7 +770,7 @@ def _verified(rows: DataFrame, classes: DataFrame, edges: DataFrame, n: int, thr
         F.coalesce("pieces", F.lit(1)).alias("pieces"),
     )
     where = table(where, "join-where")
-    whole = sized_join(rows, where, ["row"], "inner", 64).mapInArrow(_whole(n), "node long, n long, component long, large boolean, at long, piece int, pieces int, grams binary")
+    whole = sized_join(rows, where, ["row"], "inner", 64, (F.col("row"), F.col("row"))).mapInArrow(_whole(n), "node long, n long, component long, large boolean, at long, piece int, pieces int, grams binary")
     met = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("x", F.least("piece", "other")).withColumn("y", F.greatest("piece", "other"))
     checked = met.groupBy("large", "at", "x", "y").applyInArrow(_verify(threshold, pairs), _PAIRS if pairs else _LINKS)
     checked = table(checked, "join-checked")
@@ -866,7 +866,8 @@ def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_c
     # what a row that is kept repeats
     again = table(some.where("kept AND rows > 1").select("row"), "join-again")
     gone = table(some.where("kept IS NULL").select("row").union(again), "join-out")
-    left = sized_join(keyed, gone, ["row"], "left_anti", 8)
+    own = (F.col("row"), F.col("row"))
+    left = sized_join(keyed, gone, ["row"], "left_anti", 8, own)
     if not again.isEmpty():
-        left = left.unionByName(sized_join(keyed, again, ["row"], "left_semi", 8).dropDuplicates(["row"]))
+        left = left.unionByName(sized_join(keyed, again, ["row"], "left_semi", 8, own).dropDuplicates(["row"]))
     return left.drop("row").toDF(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, discard, parallelism, plain, table
+from ._common import discard, parallelism, plain, sized_join, table
 from ._tokens import blocks, grams_of
 
 #: Words of a passage.
@@ -265,11 +265,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     twins = found.repartition(parallelism(docs.sparkSession), "k1").sortWithinPartitions("k1").mapInArrow(_runs(1, False), "doc_id long, text_hash long, pos int")
     places = table(twins.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("places")), "repeat-anchors")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash"))
-    size = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    p = places.alias("p")
-    if size * 4 + places.count() * 48 <= BROADCAST_BYTES:
-        p = F.broadcast(p)
-    near = rows.alias("d").join(p, same).select("d.doc_id", "d.text_hash", "d.text", "p.places")
+    held = places.agg(F.count("*"), F.sum(F.size("places"))).first()
+    row_bytes = 16 + 4 * -(-(held[1] or 0) // max(1, held[0]))
+    joined = sized_join(rows.alias("d"), places.alias("p"), same, "inner", row_bytes, (F.col("text_hash"), F.col("text_hash")))
+    near = joined.select("d.doc_id", "d.text_hash", "d.text", "p.places")
     pairs = table(near.mapInArrow(_positions(length, anchor, first, offsets[0], offsets[1:]), _KEYED.replace("k2 long, ", "")), "repeat-pairs-0")
     discard(docs.sparkSession, places)
     for k, offset in enumerate(offsets[1:], 1):

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from ledgerloom.llm import line_dedup, queries
+from ledgerloom.llm import _common, queries
 from ledgerloom.llm.line_dedup import Cuckoo, LineIndex, dedup_lines
 
 
@@ -47,7 +47,7 @@ def test_emptied_rows_go_and_extra_columns_stay(docs):
 
 
 def test_drops_beyond_the_broadcast(docs, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", -1)
     assert run(dedup_lines(docs(ROWS))) == brute(ROWS)
 
 
