@@ -1,5 +1,5 @@
 """Column expressions and library functions."""
 
-from . import keys, merge, text, vectors
+from . import keys, merge, text, tickets, vectors
 
-__all__ = ["keys", "merge", "text", "vectors"]
+__all__ = ["keys", "merge", "text", "tickets", "vectors"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("namespace", "collection", "id")
@@ -76,6 +78,65 @@ def merge_class(kind: Column | str) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in MERGE_CLASS.items() for x in pair]), kind)
 
 
+#: Namespaces that only their own operations write.
+RESERVED = ("_blobs", "tickets")
+
+
+def view_folder(repo: Column | str, view_id: Column | str) -> Column:
+    """The relative folder of a stored view; no two views share one."""
+    return F.concat(segment(repo), F.lit("/"), segment(view_id), F.lit(".db"))
+
+
+@dataclass(frozen=True)
+class Principal:
+    """Who asks: the namespaces that may be read and written, ``*`` for all."""
+
+    name: str = "local"
+    read: tuple[str, ...] = ("*",)
+    write: tuple[str, ...] = ("*",)
+    authenticated: bool = True
+
+    def may(self, access: str, namespace: str) -> bool:
+        scopes = self.read if access == "read" else self.write
+        return "*" in scopes or namespace in scopes
+
+    def readable(self, rows: DataFrame) -> DataFrame:
+        """The rows of namespaces that the principal may read."""
+        return rows if "*" in self.read else rows.where(F.col("namespace").isin(list(self.read)))
+
+    def check_write(self, rows: DataFrame) -> None:
+        """``PermissionError`` for the first namespace that may not be written;
+        reserved ones need ``*``."""
+        for (namespace,) in rows.select("namespace").distinct().collect():
+            if not self.may("write", namespace) or (namespace in RESERVED and "*" not in self.write):
+                raise PermissionError(f"{self.name} may not write {namespace}")
+
+    def stamped(self, records: DataFrame) -> DataFrame:
+        """Records with this author, if there is one; else as they came."""
+        if not self.authenticated:
+            return records
+        author = F.struct(F.lit(self.name).alias("id"), F.lit(None).cast("string").alias("display"))
+        return records.withColumn("meta", F.col("meta").withField("author", author))
+
+
+def principals(config: str) -> dict[str, Principal]:
+    """Principals by token from TOML: ``[[principal]]`` tables with ``name``,
+    ``token``, ``read`` and ``write``.  A token may be given once."""
+    import tomllib
+
+    found: dict[str, Principal] = {}
+    for p in tomllib.loads(config).get("principal", []):
+        if p["token"] in found:
+            raise ValueError("a token is given twice")
+        found[p["token"]] = Principal(p["name"], tuple(p.get("read", ())), tuple(p.get("write", ())))
+    return found
+
+
+def is_probe_path(path: Column | str) -> Column:
+    """Health checks, which need no principal."""
+    return (F.col(path) if isinstance(path, str) else path).isin("/healthz", "/readyz")
+
+
 def allows(scopes: Column, namespace: Column | str) -> Column:
     """Whether a principal's scopes admit a namespace; ``*`` admits all."""
     return F.array_contains(scopes, F.col(namespace) if isinstance(namespace, str) else namespace) | F.array_contains(scopes, F.lit("*"))

@@ -32,6 +32,19 @@ LANGUAGES = {
     "elixir": "ex exs",
 }
 BY_EXTENSION = {e: name for name, endings in LANGUAGES.items() for e in endings.split()}
+#: The kinds that a filter may name.
+SYMBOL_KINDS = ("function", "struct", "enum", "trait", "impl", "module", "const", "static", "type_alias", "class", "interface")
+
+
+def parse_kind(name: str) -> str:
+    """A kind by its name, whatever its case, with ``_``, ``-`` or neither."""
+    wanted = name.strip().lower().replace("_", "").replace("-", "")
+    for kind in SYMBOL_KINDS:
+        if kind.replace("_", "") == wanted:
+            return kind
+    raise ValueError(f"unknown kind {name!r}")
+
+
 #: Folders and endings of dependencies, build output and generated files.
 SKIPPED_FOLDERS = "target node_modules vendor dist build site-packages third_party".split()
 SKIPPED_ENDINGS = ".min.js .min.css .bundle.js -lock.json".split()
@@ -96,6 +109,17 @@ def is_indexable(path: Column | str, include: Sequence[str] = ()) -> Column:
     return wanted | ~(bad_part | bad_name)
 
 
+def should_descend(folder: Column | str, include: Sequence[str] = ()) -> Column:
+    """Whether a walk has to enter a folder: it is indexable itself or leads to
+    an included prefix."""
+    folder = _col(folder)
+    leads = F.lit(False)
+    for raw in include:
+        prefix = raw.replace("\\", "/").rstrip("/")
+        leads = leads | F.lit(prefix + "/").startswith(F.concat(folder, F.lit("/")))
+    return is_indexable(folder, include) | leads
+
+
 def in_tests(path: Column | str) -> Column:
     return F.array_contains(F.split(_col(path), "/"), "tests")
 

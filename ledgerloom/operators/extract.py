@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -124,7 +125,8 @@ def extract(language: str | None, source: str) -> tuple[list[Symbol], list[Refer
     text = (_HASH_NOISE if hashes else _NOISE).sub(_blank, source)
     if language == "lua":
         text = re.sub(r"--[^\n]*", _blank, text)
-    line = lambda i: text.count("\n", 0, i) + 1
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line = lambda i: bisect_left(ends, i) + 1
     heads: dict[int, tuple[str, str, int]] = {}
     for pattern, kind in RULES[language]:
         for m in re.finditer(pattern, text):
@@ -149,11 +151,25 @@ _SYMBOLS = pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("s
 _REFERENCES = pa.list_(pa.struct([("name", pa.string()), ("from", pa.string()), ("line", pa.int64())]))
 
 
-def slices(files: DataFrame) -> DataFrame:
+def slices(files: DataFrame, isolated: bool = False) -> DataFrame:
     """``path, content`` (bytes of the slice as JSON) of files ``path, content``
-    in a known language.  The slice names no path, so equal files share one."""
+    in a known language.  The slice names no path, so equal files share one.
+    ``isolated`` parses in child processes: a file that crashes or outlasts
+    them is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not isolated:
+            yield from parsed(batches, extract)
+            return
+        from .parse_pool import ParsePool
+
+        pool = ParsePool()
+        try:
+            yield from parsed(batches, pool.call)
+        finally:
+            pool.close()
+
+    def parsed(batches: Iterator[pa.RecordBatch], parse) -> Iterator[pa.RecordBatch]:
         for b in batches:
             paths, symbols, references = [], [], []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -161,7 +177,10 @@ def slices(files: DataFrame) -> DataFrame:
                 language = BY_EXTENSION.get(name.rsplit(".", 1)[-1]) if "." in name[1:] else None
                 if language is None or content is None:
                     continue
-                s, r = extract(language, bytes(content).decode("utf-8", "replace"))
+                found = parse(language, bytes(content).decode("utf-8", "replace"))
+                if found is None:
+                    continue
+                s, r = found
                 paths.append(path)
                 symbols.append([dict(zip(("name", "kind", "start_line", "end_line"), x)) for x in s])
                 references.append([dict(zip(("name", "from", "line"), x)) for x in r])

@@ -101,6 +101,17 @@ def sync(a: DataFrame, b: DataFrame, ancestry: DataFrame | None = None, author:
     return Synced(report, store("a"), store("b"))
 
 
+def update_violations(operations: DataFrame, members: DataFrame) -> DataFrame:
+    """``key, op_id, problem`` of a run of concurrent writers: ``lost`` for an
+    operation (``key, op_id, result``) that was committed and isn't among the
+    final ``members`` (``key, op_id``), ``repeated`` for one that is there more
+    than once."""
+    committed = operations.where(F.col("result") == "committed").select("key", "op_id").distinct()
+    lost = committed.join(members.select("key", "op_id").distinct(), ["key", "op_id"], "left_anti").withColumn("problem", F.lit("lost"))
+    again = members.groupBy("key", "op_id").count().where("count > 1").select("key", "op_id", F.lit("repeated").alias("problem"))
+    return lost.unionByName(again)
+
+
 def envelope(a: DataFrame, b: DataFrame) -> DataFrame:
     """The new revision's counter and parent of keys that both stores hold in
     different revisions ``counter, hash``."""

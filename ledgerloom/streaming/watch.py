@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 QUIET_MS, RECONCILE_S = 500, 300
@@ -46,6 +47,55 @@ def quiet_groups(events: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, "key string, events long", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def tree_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``path, change`` (``added``, ``modified``, ``deleted``) between two
+    listings of ``path, length, modified``."""
+    a, b = before.select("path", F.struct("length", "modified").alias("old")), after.select("path", F.struct("length", "modified").alias("new"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "modified")
+    return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change IS NOT NULL")
+
+
+def watch_tree(spark: SparkSession, root: str, on_changes: Callable[[DataFrame, DataFrame], None], state: str, trigger: dict | None = None) -> StreamingQuery:
+    """Changed and deleted files below ``root`` as micro-batches.
+
+    Each turn lists the tree (paths, sizes and times, no contents) and compares
+    it with the listing that the last successful turn left in ``state``;
+    ``on_changes`` gets ``path, content`` of what is new or changed and the
+    deleted ``path``s.  A turn that fails is reported and comes again with the
+    next, as its listing isn't kept.
+    """
+    schema = "path string, length long, modified timestamp"
+
+    def listing() -> DataFrame:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return raw.select("path", "length", F.col("modificationTime").alias("modified"))
+
+    def turn(_: DataFrame, batch: int) -> None:
+        try:
+            kept = f"{state}/listing-{batch}"
+            listing().write.mode("overwrite").parquet(kept)
+            now = spark.read.schema(schema).parquet(kept)
+            known = [f"{state}/{line}" for line in spark.read.text(f"{state}/current").toPandas()["value"]] if batch_done(spark, f"{state}/current") else []
+            before = spark.read.schema(schema).parquet(*known) if known else spark.createDataFrame([], schema)
+            changes = tree_changes(before, now).cache()
+            if not changes.isEmpty():
+                files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+                on_changes(files.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi"), changes.where("change = 'deleted'").select("path"))
+            changes.unpersist()
+            spark.createDataFrame([(f"listing-{batch}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{state}/current")
+        except Exception as e:  # a bad file must not end the watch
+            print(f"watch: {e}")
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(turn).option("checkpointLocation", f"{state}/checkpoint").trigger(**(trigger or {"processingTime": f"{QUIET_MS} milliseconds"})).start()
+
+
+def batch_done(spark: SparkSession, path: str) -> bool:
+    """Whether a finished output lies at ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def watch(spark: SparkSession, root: str, on_files: Callable[[DataFrame], None], checkpoint: str, reconcile: Callable[[], None] | None = None, trigger: dict | None = None, clock: Callable[[], float] = time.monotonic) -> StreamingQuery:
     """New files below ``root`` as micro-batches of ``path, content``.
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -87,3 +88,65 @@ def test_structured_merge():
 def test_rich_text(spark):
     doc = {"type": "doc", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"type": "heading", "content": [{"type": "text", "text": "c"}]}]}
     assert column(spark, [json.dumps(doc), None], text.rich_text) == ["ab\nc", None]
+
+
+def test_kinds_folders_and_probes(spark):
+    assert text.parse_kind("TypeAlias") == text.parse_kind("type-alias") == "type_alias" and text.parse_kind("FUNCTION") == "function"
+    with pytest.raises(ValueError):
+        text.parse_kind("macro?")
+    df = spark.createDataFrame([("src",), ("vendor",), ("vendor/keep",), ("vendor/other",), (".git",)], "p string")
+    got = [r[0] for r in df.where(text.should_descend("p", ["vendor/keep/x"])).collect()]
+    assert got == ["src", "vendor", "vendor/keep"]
+    views = spark.createDataFrame([("org/repo", "v1.0"), ("org_repo", "v1.0"), ("org/repo", "v1_0")], "repo string, view string")
+    folders = [r[0] for r in views.select(keys.view_folder("repo", "view")).collect()]
+    assert folders == ["org%2Frepo/v1%2E0.db", "org_repo/v1%2E0.db", "org%2Frepo/v1_0.db"]
+    assert [r[0] for r in spark.createDataFrame([("/healthz",), ("/x",)], "p string").select(keys.is_probe_path("p")).collect()] == [True, False]
+
+
+def test_principals(spark):
+    known = keys.principals('[[principal]]\nname="ann"\ntoken="t"\nread=["a"]\nwrite=["a", "tickets"]\n[[principal]]\nname="root"\ntoken="r"\nread=["*"]\nwrite=["*"]\n')
+    rows = spark.createDataFrame([("a", (("me", None), 1)), ("b", (("me", None), 1))], "namespace string, meta struct<author: struct<id: string, display: string>, n: int>")
+    assert [r["namespace"] for r in known["t"].readable(rows).collect()] == ["a"] and known["r"].readable(rows).count() == 2
+    known["r"].check_write(rows)
+    known["t"].check_write(rows.where("namespace = 'a'"))
+    for bad in (rows, rows.withColumn("namespace", F.lit("tickets"))):
+        with pytest.raises(PermissionError):
+            known["t"].check_write(bad)
+    assert {r["meta"]["author"]["id"] for r in known["t"].stamped(rows).collect()} == {"ann"}
+    assert {r["meta"]["author"]["id"] for r in keys.Principal(authenticated=False).stamped(rows).collect()} == {"me"}
+    with pytest.raises(ValueError):
+        keys.principals('[[principal]]\nname="a"\ntoken="t"\n[[principal]]\nname="b"\ntoken="t"\n')
+
+
+def crash_or_sleep(language, source):
+    import os
+    import time
+
+    if source == "crash":
+        os._exit(3)
+    if source == "hang":
+        time.sleep(60)
+    print("noise")
+    return [(source, language, 1, 1)], []
+
+
+def test_parse_pool_survives_its_children(spark):
+    from ledgerloom.operators.extract import slices
+    from ledgerloom.operators.parse_pool import ParsePool
+
+    pool = ParsePool(f"{__name__}:crash_or_sleep", 2, 4.0)
+    try:
+        asked = ["a", "crash", "b", "hang", "c"]
+        assert [x and x[0][0][0] for x in (pool.call("python", s) for s in asked)] == ["a", None, "b", None, "c"]
+    finally:
+        pool.close()
+    files = spark.createDataFrame([("m.py", b"def f():\n    g()\n")], "path string, content binary")
+    assert slices(files, isolated=True).collect() == slices(files).collect()
+
+
+def test_update_violations(spark):
+    from ledgerloom.operators.sync import update_violations
+
+    ops = spark.createDataFrame([("k", 1, "committed"), ("k", 2, "committed"), ("k", 3, "conflict"), ("l", 1, "committed")], "key string, op_id long, result string")
+    members = spark.createDataFrame([("k", 1), ("k", 1), ("l", 1)], "key string, op_id long")
+    assert sorted(map(tuple, update_violations(ops, members).collect())) == [("k", 1, "repeated"), ("k", 2, "lost")]

@@ -1,4 +1,4 @@
-from ledgerloom.streaming.watch import Debouncer, quiet_groups, watch
+from ledgerloom.streaming.watch import Debouncer, quiet_groups, watch, watch_tree
 
 
 def test_debouncer_waits_for_quiet():
@@ -49,3 +49,41 @@ def test_quiet_groups_stream(spark, tmp_path):
         assert {r["key"]: r["events"] for r in spark.table("quiet").collect()} == {"a": 2, "b": 1}
     finally:
         q.stop()
+
+
+def test_watch_tree_sees_changes_and_deletions(spark, tmp_path):
+    import time
+
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "a.py").write_text("one")
+    (root / "b.py").write_text("two")
+    turns = []
+
+    def on_changes(files, deleted):
+        name = lambda r: r["path"].rsplit("/", 1)[-1]
+        turns.append((sorted((name(r), bytes(r["content"]).decode()) for r in files.collect()), sorted(name(r) for r in deleted.collect())))
+        if len(turns) == 2:
+            raise ValueError("comes again")
+
+    q = watch_tree(spark, str(root), on_changes, str(tmp_path / "state"), {"processingTime": "200 milliseconds"})
+    try:
+
+        def until(n):
+            deadline = time.time() + 90
+            while time.time() < deadline and len(turns) < n:
+                time.sleep(0.2)
+
+        until(1)
+        (root / "a.py").write_text("one and more")
+        (root / "b.py").unlink()
+        (root / "c.py").write_text("three")
+        until(3)
+    finally:
+        q.stop()
+    assert turns[0] == ([("a.py", "one"), ("b.py", "two")], [])
+    files, deleted = {}, set()
+    for f, d in turns[2:]:
+        files |= dict(f)
+        deleted |= set(d)
+    assert ("c.py" in files or ("c.py", "three") in turns[1][0]) and files.get("a.py", "one and more") == "one and more" and "b.py" in deleted | set(turns[1][1])
