@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, parallelism, plain, sized_join
+from ._common import cut, parallelism, plain, sized_join, table
 
 #: Bits of a fingerprint. 48 keep false suspects near one in 10,000 at 3e10 texts.
 FINGERPRINT_BITS = 48
 #: Fingerprints that one owner compares.
 OWNER_PRINTS = 1 << 24
+#: Rows of one range of the numbering.
+RANGE_ROWS = 1 << 20
 
 
 def rice_parameter(n: int, span: int) -> int:
@@ -139,6 +141,61 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     suspects = cut(lists.join(bitmaps, ["sender", "owner"]).mapInArrow(_marked(span), "print long").distinct())
     own = F.xxhash64("print")
     sent = sized_join(rows.withColumn("print", fingerprint), suspects, ["print"], "left_semi", 16, (own, own))
-    same = Window.partitionBy("print", "text").orderBy(F.col("doc_id").asc_nulls_last())
-    numbered = sent.select("doc_id", F.first("doc_id").over(same).alias("keep_id"), (F.row_number().over(same) - 1).cast("long").alias("copy_no"))
-    return numbered.where(F.col("copy_no") > 0)
+    return _copies(table(_classes(sent), "copy-classes"), sent)
+
+
+def _classes(sent: DataFrame) -> DataFrame:
+    """Of the suspects ``print, text, doc_id``: each text once, compared byte
+    by byte, with its number of rows and first id.  Equal texts are aggregated
+    before they are exchanged, however many there are."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    return sent.groupBy("print", "text").agg(F.count("*").alias("n"), first.alias("first"))
+
+
+def _copies(classes: DataFrame, sent: DataFrame) -> DataFrame:
+    """The numbered copies.  A fingerprint of one text names its rows; only
+    for one of several texts are they compared again."""
+    texts = classes.groupBy("print").agg(F.count("*").alias("texts"))
+    named = table(classes.where("n > 1").join(texts, "print").withColumn("class", F.monotonically_increasing_id()), "copy-names")
+    clear, mixed = named.where("texts = 1"), named.where("texts > 1")
+    rows = sized_join(sent.select("print", "doc_id"), table(clear.select("print", "class"), "copy-clear"), ["print"], "inner", 16).select("class", "doc_id")
+    if not mixed.isEmpty():
+        rows = rows.union(sent.join(mixed.select("print", "text", "class"), ["print", "text"]).select("class", "doc_id"))
+    keep = named.select("class", F.col("first.doc_id").alias("keep_id"))
+    copies = _numbered(table(rows, "copy-rows")).where("copy_no > 0")
+    return copies.join(keep, "class").select("doc_id", "keep_id", "copy_no")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``class, doc_id, copy_no``: numbers from 0 in the order of ids, nulls
+    last.  The rows are sorted in ranges of class and id, so a class that
+    holds a third of all rows lies in many tasks, each of which counts on from
+    those before it."""
+    order = ["class", F.col("doc_id").asc_nulls_last()]
+    ranges = max(parallelism(rows.sparkSession), -(-rows.count() // RANGE_ROWS))
+    local = table(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_count_on, "class long, doc_id long, part int, no long"), "copy-numbers")
+    # a row for each class and range
+    sizes = local.groupBy("class", "part").agg((F.max("no") + 1).alias("n"))
+    earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = table(sizes.withColumn("before", F.sum("n").over(earlier)).where("before > 0").select("class", "part", "before"), "copy-offsets")
+    placed = sized_join(local, before, ["class", "part"], "left", 20)
+    return placed.select("class", "doc_id", (F.col("no") + F.coalesce("before", F.lit(0))).alias("copy_no"))
+
+
+def _count_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    part = context.partitionId() if context else 0
+    last, n = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        of = b.column(0).to_numpy()
+        head = np.concatenate(([True], of[1:] != of[:-1]))
+        place = np.arange(len(of))
+        no = place - np.maximum.accumulate(np.where(head, place, 0))
+        if last == of[0]:
+            no[: int(np.append(np.flatnonzero(head[1:]) + 1, len(of))[0])] += n
+        last, n = of[-1], int(no[-1]) + 1
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(of), part, np.int32)), pa.array(no)], names=["class", "doc_id", "part", "no"])

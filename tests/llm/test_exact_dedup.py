@@ -1,9 +1,11 @@
 import collections
+import random
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ledgerloom.llm import exact_dedup
 from ledgerloom.llm.exact_dedup import exact_duplicates, golomb_decode, golomb_encode, rice_parameter
 
 
@@ -36,3 +38,13 @@ def test_matches_brute_force_on_awkward_rows(docs):
 
 def test_empty(docs):
     assert exact_duplicates(docs([])).collect() == []
+
+
+def test_a_class_over_many_ranges(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RANGE_ROWS", 7)
+    rng = random.Random(3)
+    rows = [(rng.randrange(60), "hot") for _ in range(80)] + [(None, "hot"), (None, "hot")] + [(i, f"text {i % 9}") for i in range(30)] + [(99, "alone")]
+    got = sorted(map(tuple, exact_duplicates(docs(rows)).collect()), key=repr)
+    assert got == brute(rows)
+    # texts of one fingerprint are told apart
+    assert sorted(map(tuple, exact_duplicates(docs(rows), bits=1).collect()), key=repr) == brute(rows)
