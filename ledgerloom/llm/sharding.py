@@ -21,6 +21,8 @@ from ._common import plain, table
 #: Groups in a block.  The driver holds 16 bytes per block, about 12 MB for
 #: 5e10 groups.
 BLOCK = 1 << 16
+#: Blocks that the driver reads at once and that it holds, 512 KiB each.
+PREFETCH, HELD_BLOCKS = 64, 256
 
 _BLOCKS = "part int, block int, n long, total long, largest long, first long, last long, sizes binary, keys binary"
 
@@ -66,10 +68,17 @@ class Cutter:
         """Running sums within a block, read along with the blocks that the
         next cuts will fall into if the groups are small."""
         if block not in self._seen:
-            marks = np.arange(int(self.begins[block]) + capacity, self.total, max(1, capacity))[:4096]
+            marks = int(self.begins[block]) + max(1, capacity) * np.arange(1, PREFETCH)
+            marks = marks[marks < self.total]
             likely = {block, *np.searchsorted(self.ends, marks, side="right").tolist()}
             for b, sizes in self._fetch([b for b in likely if b < len(self.ends) and b not in self._seen]).items():
                 self._seen[b] = np.cumsum(sizes)
+            while len(self._seen) > HELD_BLOCKS:
+                oldest = next(iter(self._seen))
+                if oldest == block:
+                    self._seen[block] = self._seen.pop(block)
+                else:
+                    del self._seen[oldest]
         return self._seen[block]
 
     def cuts(self, capacity: int, at_most: int) -> list[tuple[int, int]] | None:
