@@ -13,6 +13,7 @@ from .operators.index import changed_paths, stale_entries
 from .plans.dispatch import Service
 from .plans.views import spark_view
 from .sources.files import ignored
+from .streaming.watch import tree_changes
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,3 +405,27 @@ def _broken(spark: SparkSession, sf: str) -> DataFrame:
 
 _register("ticket_violations", _broken, (), _O + "SELECT k::VARCHAR AS uid, 'display is empty' AS problem FROM o WHERE k % 5 = 0 UNION ALL SELECT k::VARCHAR, 'item_type is empty' FROM o WHERE k % 7 = 0 UNION ALL SELECT k::VARCHAR, 'more than one primary container' FROM o WHERE k % 3 = 0")
 _register("ticket_uids", lambda s, d: spark_view(s, d, "tickets").select("uid", tickets.scoped_uid(F.col("uid"), "board").alias("scoped"), tickets.provider_slug(F.when(F.col("priority") == "Low", "AzureDevOps").otherwise("Odd")).alias("slug")), ("tickets",), "SELECT uid, 'board/' || uid AS scoped, CASE WHEN priority = 'Low' THEN 'azure-devops' ELSE 'odd' END AS slug FROM tickets")
+
+
+# --- audits and listings -------------------------------------------------
+
+
+def _lost(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _orders(spark, sf).select(F.col("prio").alias("key"), F.col("k").alias("op_id"), F.when(_by(4), "conflict").otherwise("committed").alias("result"))
+    there = rows.where("result = 'committed' AND op_id % 9 <> 0").select("key", "op_id")
+    return sync.update_violations(rows, there.union(there.where("op_id % 10 = 1")))
+
+
+_register("update_violations", _lost, (), _O + "SELECT prio AS key, k AS op_id, CASE WHEN k % 9 = 0 THEN 'lost' ELSE 'repeated' END AS problem FROM o WHERE k % 4 <> 0 AND (k % 9 = 0 OR k % 10 = 1)")
+_register("view_folders", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", keys.view_folder(F.concat(F.lit("org/"), "p_brand"), F.lit("v1.0")).alias("folder")), (), "SELECT p_partkey, 'org%2F' || replace(replace(p_brand, '#', '%23'), ' ', '%20') || '/v1%2E0.db' AS folder FROM part")
+
+
+def _listed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _orders(spark, sf).select("k", F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.length("prio").cast("long").alias("length"), F.timestamp_seconds(F.col("k")).alias("modified"))
+    after = rows.where(~_by(7)).withColumn("modified", F.when(_by(5), F.timestamp_seconds(F.col("k") + 1)).otherwise(F.col("modified")))
+    return tree_changes(rows.where(~_by(3)), after)
+
+
+_register("tree_changes", _listed, (), _O + "SELECT 'f' || k AS path, CASE WHEN k % 3 = 0 THEN 'added' WHEN k % 7 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM o WHERE (k % 3 = 0) <> (k % 7 = 0) OR (k % 3 <> 0 AND k % 7 <> 0 AND k % 5 = 0)")
+_register("principal_read", lambda s, d: keys.Principal("p", ("ns", "x"), ()).readable(_orders(s, d).select("k", F.when(_by(3), "secret").when(_by(2), "ns").otherwise("x").alias("namespace"))), (), _O + "SELECT k, CASE WHEN k % 2 = 0 THEN 'ns' ELSE 'x' END AS namespace FROM o WHERE k % 3 <> 0")
+_register("walk_folders", lambda s, d: _paths(s, d).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().where(text.should_descend("folder", ["vendor/keep/deep"])), (), _PATHS + "SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM p WHERE k % 6 IN (0, 3, 5)")
