@@ -60,3 +60,48 @@ def test_run_gives_the_same(spark, made):
     _, seen, sf = made
     key = lambda df: sorted(map(str, df.select("doc_id", "piece", "tokens").collect()))
     assert key(corpus_pipeline.run(spark, sf)) == key(seen[-1])
+
+
+EXTRA = ["__had", "__key", "__gone", "a.b", "row", "c1"]
+
+
+def awkward(spark, rows):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"{c} of {i}" for c in EXTRA]) for i, t in rows], kind)
+
+
+def tables(spark, path, labels, items):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_stages_on_awkward_rows(spark, tmp_path, labelled):
+    """Repeated rows, nulls, clashing names, with and without labels: columns
+    and extra values pass, and each stage keeps what it must."""
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, body(1)), (1, body(1)), (2, body(1)), (None, body(2)), (3, None), (4, ""), (5, "\n \n"), (6, "line one\nline two"), (7, "line two\nline one"), (8, "the item words here")]
+    tables(spark, tmp_path, [(1, 1, 0), (6, 1, 0), (None, 1, 0)] if labelled else [], [(1, "ITEM words")])
+    df = awkward(spark, rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    sf, got = str(tmp_path), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns
+        found = out.collect()
+        assert all(tuple(r)[5:] == tuple(f"{c} of {r[0]}" for c in EXTRA) for r in found)
+        got[name] = sorted(((r[0], r[1]) for r in found), key=repr)
+    every = sorted(rows, key=repr)
+    assert got["quality"] == every  # only good grades, or none
+    # 2 and 7 have no line of their own; repeated rows are one document
+    assert got["lines"] == [r for r in every if r[0] not in (2, 7)]
+    assert got["near-duplicates"] == sorted([r for r in set(rows) if r[0] not in (2,)], key=repr)
+    assert got["decontamination"] == [r for r in every if r[0] != 8]
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, sf).groupBy("doc_id").count().collect()
+    assert {r[0]: r[1] for r in packed} == {1: 2, 2: 1, None: 1, 6: 1, 7: 1, 8: 1}
+
+
+def test_empty_documents(spark, tmp_path):
+    tables(spark, tmp_path, [(1, 0, 0), (2, 1, 0)], [(1, "an item")])
+    awkward(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
