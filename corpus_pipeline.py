@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_dedup, ngram_join, packing, quality
-from ledgerloom.llm._common import table
+from ledgerloom.llm._common import plain, table
 from ledgerloom.llm.decontaminate import decontaminate
 
 
@@ -39,7 +39,9 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id and text are one document and keep the same lines.
     """
     left = line_dedup.dedup_lines(docs, drop_emptied=True)
-    return left.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    safe, (text, n_chars) = plain(left, "text", "n_chars")
+    counted = F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema["n_chars"].dataType)
+    return safe.withColumn(n_chars, counted).toDF(*left.columns)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
