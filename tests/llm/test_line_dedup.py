@@ -130,7 +130,7 @@ def test_query_asks_and_deletes(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(LineIndex, "_held", spy)
     for name, rows in (("rows", ROWS), ("none", []), ("null", [(None, "a\nb"), (None, "a\nb"), (None, None)])):
         asked.clear()
-        docs(rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         got = run(queries.op3_line_dedup(spark, f"{tmp_path}/{name}"))
         assert got == brute(rows)
         # the later rows are asked for, deleted and asked for again
