@@ -53,6 +53,7 @@ SUBSET_COST = 32
 FEW_EDGES = 1_000_000
 
 _LOW32 = np.uint64(0xFFFFFFFF)
+_32 = np.uint64(32)
 
 
 def needed(r: np.ndarray | int, s: np.ndarray | int, threshold: float) -> np.ndarray:
@@ -256,20 +257,23 @@ def _light(upto: int, threshold: float):
 
 def _planes(values: np.ndarray, width: int) -> bytes:
     """Little-endian integers with all first bytes first, then all second."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    whole = 4 if width <= 4 else 8
+    return np.ascontiguousarray(values.astype(f"<u{whole}").view(np.uint8).reshape(-1, whole)[:, :width].T).tobytes()
 
 
 def _unplanes(payload: bytes, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(payload, np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel()
+    """As uint32 if that is wide enough, else as uint64."""
+    whole = 4 if width <= 4 else 8
+    out = np.zeros((n, whole), np.uint8)
+    out[:, :width] = np.frombuffer(payload, np.uint8, count=n * width).reshape(width, n).T
+    return out.view(f"<u{whole}").ravel()
 
 
 def encode_list(gram: np.ndarray, index: np.ndarray) -> bytes:
-    """Ascending 32-bit values with their set numbers, compressed."""
+    """Ascending uint32 values with their set numbers, compressed."""
     import zstandard
 
-    gaps = np.diff(gram.astype(np.uint64), prepend=np.uint64(0))
+    gaps = np.diff(gram, prepend=np.uint32(0))
     width = max(1, (int(index.max(initial=0)).bit_length() + 7) // 8)
     body = _planes(gaps, 4) + _planes(index, width)
     return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(body)
@@ -279,51 +283,95 @@ def decode_list(payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     width = payload[0]
-    body = zstandard.ZstdDecompressor().decompress(payload[1:], max_output_size=n * (4 + width))
-    return np.cumsum(_unplanes(body[: 4 * n], n, 4), dtype=np.uint64), _unplanes(body[4 * n :], n, width).astype(np.int64)
+    body = memoryview(zstandard.ZstdDecompressor().decompress(payload[1:], max_output_size=n * (4 + width)))
+    return np.cumsum(_unplanes(body, n, 4), dtype=np.uint32), _unplanes(body[4 * n :], n, width)
+
+
+def _codes(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two 32-bit numbers as one, that sorts by the first."""
+    code = high.astype(np.uint64)
+    code <<= _32
+    code |= low.astype(np.uint64)
+    return code
 
 
 _LISTS = "owner int, n int, payload binary, set_ids binary, sizes binary"
 
 
 def _packed(owner: np.ndarray, low: np.ndarray, index: np.ndarray, ids: np.ndarray, sizes: np.ndarray, owners: int) -> Iterator[pa.RecordBatch]:
-    """A row per owner of the entries (32-bit value, number of the set)."""
-    order = np.lexsort((index, low, owner))
-    owner, low, index = owner[order], low[order], index[order]
-    edges = np.searchsorted(owner, np.arange(owners + 1))
+    """A row per owner of the entries (uint32 value, number of the set)."""
+    order = np.argsort(owner, kind="stable")
+    edges = np.searchsorted(owner[order], np.arange(owners + 1))
     out = []
     for o in range(owners):
         a, b = edges[o], edges[o + 1]
         if b > a:
-            used, number = np.unique(index[a:b], return_inverse=True)
-            out.append((o, int(b - a), encode_list(low[a:b], number), ids[used].tobytes(), sizes[used].astype(np.int32).tobytes()))
+            code = _codes(low[order[a:b]], index[order[a:b]])
+            code.sort()
+            used, number = np.unique(code.astype(np.uint32), return_inverse=True)
+            out.append((o, int(b - a), encode_list((code >> _32).astype(np.uint32), number), ids[used].tobytes(), sizes[used].astype(np.int32).tobytes()))
     if out:
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=["owner", "n", "payload", "set_ids", "sizes"])
 
 
-def _unpack(tables: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(list, set, size) of the entries, sorted by list and set, each once.
+def _once(code: np.ndarray) -> np.ndarray:
+    """Sorted, in place, and without repeats."""
+    code.sort()
+    keep = np.ones(len(code), bool)
+    np.not_equal(code[1:], code[:-1], out=keep[1:])
+    return code if keep.all() else code[keep]
+
 
-    A list is a gram's 32-bit value and how many grams of the same set came
-    with that value before, so that grams of one value still count each.
+def _unpack(tables: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The entries, and the ids, ascending, and sizes of their sets.
+
+    An entry is a list's value and the place of its set's id, as one code.
+    They are sorted, each once, and apart by how many grams of the same set
+    came with that value before: so grams of one value still count each.
+    All entries of an owner are here at once, so they are held as narrow as
+    can be and never twice.
     """
-    lists, ids, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    parts, names, widths = [], [], []
     for t in tables:
         for n, payload, set_ids, set_sizes in zip(*(t.column(c) for c in ("n", "payload", "set_ids", "sizes"))):
-            g, index = decode_list(payload.as_py(), n.as_py())
-            same = np.concatenate(([False], (g[1:] == g[:-1]) & (index[1:] == index[:-1])))
-            if same.any():
-                place = np.arange(len(g))
-                g = g + ((place - np.maximum.accumulate(np.where(same, 0, place))).astype(np.uint64) << np.uint64(32))
-            lists.append(g)
-            ids.append(np.frombuffer(set_ids.as_buffer(), np.int64)[index])
-            sizes.append(np.frombuffer(set_sizes.as_buffer(), np.int32)[index])
-    g, own, size = np.concatenate(lists), np.concatenate(ids), np.concatenate(sizes)
-    order = np.lexsort((own, g))
-    g, own, size = g[order], own[order], size[order]
-    keep = np.concatenate(([True], (g[1:] != g[:-1]) | (own[1:] != own[:-1])))[: len(g)]
-    return g[keep], own[keep], size[keep]
+            parts.append(decode_list(payload.as_py(), n.as_py()))
+            names.append(np.frombuffer(set_ids.as_buffer(), np.int64).copy())
+            widths.append(np.frombuffer(set_sizes.as_buffer(), np.int32).copy())
+    ids = np.unique(np.concatenate(names)) if names else np.empty(0, np.int64)
+    sizes = np.zeros(len(ids), np.int32)
+    first, end = np.empty(sum(len(low) for low, _ in parts), np.uint64), 0
+    more: list[list[np.ndarray]] = []
+    for k in range(len(parts)):
+        (low, index), parts[k] = parts[k], None
+        place = np.searchsorted(ids, names[k]).astype(np.uint32)
+        sizes[place] = widths[k]
+        code = _codes(low, place[index])
+        same = np.concatenate(([False], (low[1:] == low[:-1]) & (index[1:] == index[:-1])))
+        if same.any():
+            at = np.arange(len(code))
+            before = at - np.maximum.accumulate(np.where(same, 0, at))
+            more += [[] for _ in range(int(before.max()) - len(more))]
+            for x in range(1, int(before.max()) + 1):
+                more[x - 1].append(code[before == x])
+            code = code[before == 0]
+        first[end : end + len(code)] = code
+        end += len(code)
+    return [_once(first[:end]), *(_once(np.concatenate(x)) for x in more)], ids, sizes
+
+
+def _joint(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(list, place of the set) of the lists with more than one entry."""
+    lists, own = [], []
+    for k, code in enumerate(codes):
+        value = (code >> _32).astype(np.uint32)
+        same = value[1:] == value[:-1]
+        keep = np.zeros(len(code), bool)
+        keep[1:] = same
+        keep[:-1] |= same
+        lists.append(value[keep] + (np.uint64(k) << _32))
+        own.append(code[keep].astype(np.uint32))
+    return np.concatenate(lists), np.concatenate(own)
 
 
 def _prefixes(n: int, owners: int, threshold: float, levels, per_send: int):
@@ -374,23 +422,19 @@ def _gather(owners: int, per_owner: int):
     spread over several."""
 
     def run(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, own, size = _unpack(tables)
-        head = _heads(gram)
-        length = np.diff(np.append(head, len(gram)))
-        lead = np.repeat(own[head], length)
-        keep = np.repeat(length > 1, length)
-        gram, own, size, lead = gram[keep], own[keep], size[keep], lead[keep]
-        if not len(gram):
+        codes, ids, sizes = _unpack(tables)
+        lists, own = _joint(codes)
+        del codes
+        if not len(lists):
             return
+        head = _heads(lists)
+        lead = np.repeat(own[head], np.diff(np.append(head, len(lists))))
         # a list's value is unique only within its first owner
-        mixed = mix(mix(gram.copy()) + np.uint64(int(key[0].as_py()))) & _LOW32
-        _, back, entries = np.unique(lead, return_inverse=True, return_counts=True)
-        spread = (entries * owners // per_owner + 1)[back].astype(np.uint64)
-        to = (mix(lead.view(np.uint64) + mixed % spread) % np.uint64(owners)).astype(np.int64)
-        ids, index = np.unique(own, return_inverse=True)
-        sizes = np.zeros(len(ids), np.int32)
-        sizes[index] = size
-        yield from _packed(to, mixed, index, ids, sizes, owners)
+        mixed = (mix(mix(lists) + np.uint64(int(key[0].as_py()))) & _LOW32).astype(np.uint32)
+        spread = (np.bincount(lead, minlength=len(ids)) * owners // per_owner + 1).astype(np.uint64)
+        to = (mix(ids.view(np.uint64)[lead] + mixed % spread[lead]) % np.uint64(owners)).astype(np.int32)
+        del lists, lead
+        yield from _packed(to, mixed, own, ids, sizes, owners)
 
     return run
 
@@ -437,18 +481,19 @@ def _sum_pairs(a: np.ndarray, b: np.ndarray, common: np.ndarray, need: np.ndarra
     return a[new], b[new], np.add.reduceat(common[order], new), need[order][new]
 
 
-def scan_lists(lists: np.ndarray, own: np.ndarray, size: np.ndarray, threshold: float, upto: int = 0, budget: int = PAIR_BUDGET) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
+def scan_lists(lists: np.ndarray, own: np.ndarray, ids: np.ndarray, sizes: np.ndarray, threshold: float, upto: int = 0, budget: int = PAIR_BUDGET) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
     """What lists sorted by list and set show of their pairs.
 
     Yields (True, (a, b)) of pairs that share enough lists, and (False, (a, b,
     common, needed)) with a part of what other pairs share.  Pairs both of
     which share enough with their lead are left out, as they hang together by
-    it, and so are those of two light sets and of sizes too far apart.
+    it, and so are those of two light sets and of sizes too far apart.  In the
+    lists a set is the place of its id and size, and none is alone.
     """
     head = _heads(lists)
     length = np.diff(np.append(head, len(lists)))
-    of = np.repeat(np.arange(len(head)), length)
-    lead, lead_size = own[head][of], size[head][of]
+    of = np.repeat(np.arange(len(head), dtype=np.int32), length)
+    lead = own[head][of]
 
     def far(r: np.ndarray, s: np.ndarray) -> np.ndarray:
         return np.minimum(r, s) < threshold * np.maximum(r, s) - 1e-9
@@ -456,16 +501,18 @@ def scan_lists(lists: np.ndarray, own: np.ndarray, size: np.ndarray, threshold:
     def enough(r: np.ndarray, s: np.ndarray) -> np.ndarray:
         return np.minimum(needed(r, s, threshold), COMMON)
 
-    ids, number = np.unique(own, return_inverse=True)
-    leads, lead_number = np.unique(lead, return_inverse=True)
-    _, first, back, shared = np.unique(lead_number.astype(np.int64) * len(ids) + number, return_index=True, return_inverse=True, return_counts=True)
-    tied = (shared >= enough(lead_size[first], size[first])) & ~far(lead_size[first], size[first]) & (lead[first] != own[first])
+    code, back, shared = np.unique(_codes(lead, own), return_inverse=True, return_counts=True)
+    a, b = (code >> _32).astype(np.uint32), code.astype(np.uint32)
+    tied = (shared >= enough(sizes[a], sizes[b])) & ~far(sizes[a], sizes[b]) & (a != b)
     if tied.any():
-        yield True, (lead[first][tied], own[first][tied])
+        yield True, (ids[a[tied]], ids[b[tied]])
     loose = ~tied[back] & (own != lead)
+    del lead, code, back, shared, a, b, tied
     # in each list the loose come first: each pairs with all that follow
-    order = np.lexsort((own, ~loose, of))
-    own, size, of, loose = own[order], size[order], of[order], loose[order]
+    order = np.argsort(of * 2 + ~loose, kind="stable")
+    own, of, loose = own[order], of[order], loose[order]
+    size = sizes[own]
+    del order
     x = np.flatnonzero(loose)
     count = (head + length)[of[x]] - x - 1
     ends = np.cumsum(count)
@@ -481,7 +528,10 @@ def scan_lists(lists: np.ndarray, own: np.ndarray, size: np.ndarray, threshold:
             keep &= np.maximum(size[i], size[j]) > upto
         i, j = i[keep], j[keep]
         if len(i):
-            yield False, _sum_pairs(np.minimum(own[i], own[j]), np.maximum(own[i], own[j]), np.ones(len(i), np.int64), enough(size[i], size[j]))
+            i, j = own[i], own[j]
+            code, common = np.unique(_codes(np.minimum(i, j), np.maximum(i, j)), return_counts=True)
+            i, j = (code >> _32).astype(np.uint32), code.astype(np.uint32)
+            yield False, (ids[i], ids[j], common, enough(sizes[i], sizes[j]))
         low = high
 
 
@@ -489,9 +539,11 @@ def _owner(threshold: float, upto: int, buckets: int):
     """Edges (bucket -1) and packed pairs of the lists of one owner."""
 
     def run(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, own, size = _unpack(tables)
+        codes, ids, sizes = _unpack(tables)
+        lists, own = _joint(codes)
+        del codes
         edges = [np.empty((0, 2), np.int64)]
-        for sure, found in scan_lists(lists, own, size.astype(np.int64), threshold, upto):
+        for sure, found in scan_lists(lists, own, ids, sizes, threshold, upto):
             if sure:
                 edges.append(np.column_stack(found))
                 continue
@@ -616,6 +668,8 @@ def overlaps(grams: list[np.ndarray], split: int | None = None) -> np.ndarray:
     if m == 2:
         both = len(np.intersect1d(grams[0], grams[1], assume_unique=True))
         return np.array([[both]]) if split else np.array([[size[0], both], [both, size[1]]])
+    to = split or m  # the rows of the result, and from here its columns
+    at = split or 0
     of = np.repeat(np.arange(m), size)
     _, number, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     shared = count > 1
@@ -623,23 +677,35 @@ def overlaps(grams: list[np.ndarray], split: int | None = None) -> np.ndarray:
     of, number, count = of[keep], (np.cumsum(shared) - 1)[number[keep]], count[shared]
     order = np.argsort(number, kind="stable")
     of, number = of[order], number[order]
+    out = np.zeros((to, m - at), np.int32)
     if float(m) * m * len(count) > 200 * float((count.astype(float) ** 2).sum()):
         # a gram is in few of the sets: by the pairs of its list
         follow = np.repeat(np.cumsum(count), count) - np.arange(len(of)) - 1
-        x = np.repeat(np.arange(len(of)), follow)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(follow) - follow, follow)
-        out = np.bincount(of[x] * m + of[y], minlength=m * m).reshape(m, m)
-        out += out.T.copy()
+        ends, low = np.cumsum(follow), 0
+        while low < len(of):
+            base = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, base + PAIR_BUDGET, side="right")))
+            c = follow[low:high]
+            x = np.repeat(np.arange(low, high), c)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+            x, y = of[x], of[y]
+            if split is not None:
+                across = (x < split) & (y >= split)
+                x, y = x[across], y[across] - split
+            np.add.at(out.reshape(-1), x * (m - at) + y, 1)
+            low = high
+        if split is None:
+            out += out.T.copy()
     else:
-        out = np.zeros((m, m), np.float32)
         for lo in range(0, len(count), 2048):
             a, b = np.searchsorted(number, (lo, lo + 2048))
             held = np.zeros((m, min(2048, len(count) - lo)), np.float32)
             held[of[a:b], number[a:b] - lo] = 1
-            out += held @ held.T
-        out = out.astype(np.int64)
-    np.fill_diagonal(out, size)
-    return out if split is None else out[:split, split:]
+            for k in range(0, to, 1024):
+                out[k : min(k + 1024, to)] += (held[k : min(k + 1024, to)] @ held[at:].T).astype(np.int32)
+    if split is None:
+        np.fill_diagonal(out, size)
+    return out
 
 
 _LINKS = "final boolean, node long, root long, links long"
@@ -672,28 +738,34 @@ def _verify(threshold: float, pairs: bool):
             common = overlaps(held, split)
             size = np.array([len(g) for g in held])
             left, right = (slice(None), slice(None)) if split is None else (slice(None, split), slice(split, None))
-            jaccard = common / (size[left][:, None] + size[right][None, :] - common)
-            near = jaccard >= threshold - 1e-12
-            if split is None:
-                np.fill_diagonal(near, False)
             names, weight = node[mine], copies[mine]
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            if pairs:
-                ahead = names[left][i] < names[right][j] if split is None else np.ones(len(i), bool)
-                i, j = i[ahead], j[ahead]
-                a, b = names[left][i], names[right][j]
-                yield batch(np.minimum(a, b), np.maximum(a, b), jaccard[i, j])
-                continue
+            first, second = names[left], names[right]
             links = np.zeros(len(mine), np.int64)
-            links[left] += near @ weight[right]
-            if split is not None:
-                links[right] += weight[left] @ near
-            nodes, root = _union(names[left][i], names[right][j])
-            at = np.searchsorted(nodes, names)
-            found = np.flatnonzero(nodes[np.minimum(at, len(nodes) - 1)] == names)
-            yield batch(np.full(len(found), not large), names[found], root[at[found]], links[found])
+            stars = np.empty((0, 2), np.int64)
+            step = max(1, PAIR_BUDGET // len(second))
+            for lo in range(0, len(first), step):  # all pairs at once would take many times the sets
+                some = slice(lo, lo + step)
+                jaccard = common[some] / (size[left][some, None] + size[right][None, :] - common[some])
+                near = jaccard >= threshold - 1e-12
+                if split is None:
+                    near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
+                i, j = np.nonzero(near)
+                if not len(i):
+                    continue
+                a, b = first[some][i], second[j]
+                if pairs:
+                    ahead = a < b if split is None else np.ones(len(i), bool)
+                    yield batch(np.minimum(a, b)[ahead], np.maximum(a, b)[ahead], jaccard[i, j][ahead])
+                    continue
+                links[left][some] += near @ weight[right]
+                if split is not None:
+                    links[right] += weight[left][some] @ near
+                stars = _stars(np.concatenate((stars, np.column_stack((a, b)))))
+            if len(stars):
+                nodes, root = _union(stars[:, 0], stars[:, 1])
+                place = np.searchsorted(nodes, names)
+                found = np.flatnonzero(nodes[np.minimum(place, len(nodes) - 1)] == names)
+                yield batch(np.full(len(found), not large), names[found], root[place[found]], links[found])
 
     return run
 

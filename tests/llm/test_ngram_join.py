@@ -1,8 +1,10 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import ngram_join
@@ -113,6 +115,50 @@ def test_overlaps():
         assert (overlaps(sets, 1) == want[:1, 1:]).all() and (overlaps(sets, count - 1) == want[:-1, -1:]).all()
 
 
+def traced(make):
+    tracemalloc.start()
+    try:
+        return make(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_lists_of_an_owner_take_few_bytes():
+    """All entries of an owner meet in one task."""
+    rng = np.random.default_rng(8)
+    ids, sizes = rng.permutation(40_000).astype(np.int64), np.full(40_000, 50, np.int32)
+    tables, want = [], {}
+    for k in range(10):
+        low = np.concatenate((rng.integers(0, 2_000, 4_000), rng.integers(10_000, 2**32, 36_000))).astype(np.uint32)
+        index = rng.integers(4_000 * k, 4_000 * (k + 1), 40_000).astype(np.int32)
+        tables += ngram_join._packed(np.zeros(40_000, np.int32), low, index, ids, sizes, 1)
+        for value, i in zip(low.tolist(), index.tolist()):
+            want.setdefault(value, []).append(int(ids[i]))
+    got, peak = traced(lambda: list(ngram_join._gather(1, 4_000_000)((pa.scalar(0),), iter(tables))))
+    # of two equal entries of one task each is a list of its own
+    assert sum(r.column("n")[0].as_py() for r in got) == sum(sum(n for k in range(max(map(x.count, set(x)))) if (n := sum(x.count(i) > k for i in set(x))) > 1) for x in want.values() if len(x) > 1)
+    assert peak < 40 * 400_000
+
+
+def test_near_copies_are_verified_in_few_bytes(monkeypatch):
+    """Of a part of m sets no more than some bytes for each pair."""
+    monkeypatch.setattr(ngram_join, "PAIR_BUDGET", 50_000)
+    rng = np.random.default_rng(9)
+    base, m = np.arange(40, dtype=np.uint64) * 7, 900
+    sets = [np.unique(np.where(rng.random(40) < 0.1, rng.integers(0, 2**60, 40).astype(np.uint64), base)) for _ in range(m)]
+    every = [pa.array(np.arange(m)), pa.array(np.ones(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(np.arange(m, dtype=np.int32) % 2), pa.array([x.tobytes() for x in sets], pa.binary())]
+    rows = pa.RecordBatch.from_arrays(every, names=["node", "n", "component", "piece", "grams"])
+    near = np.array([[len(np.intersect1d(a, b)) >= 0.4 * len(np.union1d(a, b)) for b in sets[:60]] for a in sets[:60]])
+    for large, keep in ((False, np.ones((m, m), bool)), (True, np.arange(m)[:, None] % 2 != np.arange(m) % 2)):
+        key = tuple(map(pa.scalar, (large, 0, 0, 1 if large else 0)))
+        got, peak = traced(lambda: list(ngram_join._verify(0.4, True)(key, iter([rows]))))
+        pairs = {(a, b) for r in got for a, b in zip(r.column("a").to_pylist(), r.column("b").to_pylist()) if b < 60}
+        assert pairs == {(a, b) for a in range(60) for b in range(a + 1, 60) if near[a, b] and keep[a, b]}
+        got, peak = traced(lambda: list(ngram_join._verify(0.4, False)(key, iter([rows]))))
+        assert sum(len(r) for r in got) == m
+        assert peak < 20 * m * m
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_components(spark, few):
     rng = random.Random(5)
